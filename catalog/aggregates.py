@@ -10,7 +10,8 @@ from cellweave.operators import interactions, lrdb, regions
 
 @query("agg_gene_region", "SELECT sample_id, region_id, cell_type, gene, n FROM pgc")
 def _(t: Inputs):
-    return interactions.region_gene_counts(interactions.patch_counts(t.cells(), t.expression(), t.pairs()))
+    pairs = t.pairs()
+    return interactions.region_gene_counts(interactions.patch_counts(t.cells(), t.expression(), pairs), pairs)
 
 
 @query("agg_complex_min", "SELECT sample_id, region_id, lr_id, side, cell_type, n FROM pcx")

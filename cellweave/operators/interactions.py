@@ -12,22 +12,30 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.names import lri_name
 from cellweave.operators import lrdb, regions
-from cellweave.session import require, small_table
+from cellweave.session import local_copy, require, small_table
+
+
+def feature_codes(pairs: DataFrame) -> DataFrame:
+    """(item, gene, lr_id): integer codes of LR genes (lr_id null) and LR pairs (gene null)."""
+    genes = lrdb.pair_genes(pairs).select("gene").distinct()
+    named = genes.select("gene", F.lit(None).cast("int").alias("lr_id")).unionByName(
+        pairs.select(F.lit(None).cast("string").alias("gene"), "lr_id")
+    )
+    return local_copy(named.withColumn("item", F.row_number().over(Window.orderBy("gene", "lr_id"))))
 
 
 def cell_features(cells: DataFrame, expression: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cells.*, kind, item): expressed LR genes and co-expressed LR pairs of typed cells.
+    """(cells.*, item): expressed LR genes and co-expressed LR pairs of typed cells.
 
-    LR genes are selected before the join to cells, and both joins and the grouping share
-    one partitioning by cell.
+    LR genes are selected before the join to cells, and both the join and the grouping
+    can share one partitioning by cell.
     """
-    genes = lrdb.pair_genes(pairs)
-    whole_pair = genes.select("lr_id", "gene").distinct().withColumn(
-        "need", F.count("*").over(Window.partitionBy("lr_id"))
-    )
+    codes = feature_codes(pairs)
+    genes = lrdb.pair_genes(pairs).select("lr_id", "gene").distinct()
+    whole_pair = genes.withColumn("need", F.count("*").over(Window.partitionBy("lr_id")))
     membership = small_table(
-        genes.select("gene").distinct().select("gene", F.lit("gene").alias("kind"), F.col("gene").alias("item"), F.lit(1).cast("long").alias("need"))
-        .unionByName(whole_pair.select("gene", F.lit("pair").alias("kind"), F.col("lr_id").cast("string").alias("item"), "need"))
+        codes.where("gene IS NOT NULL").select("gene", "item", F.lit(1).cast("long").alias("need"))
+        .unionByName(whole_pair.join(codes.where("lr_id IS NOT NULL").select("lr_id", "item"), "lr_id").select("gene", "item", "need"))
     )
     panel = small_table(genes.select("gene").distinct())
     hits = expression.where(F.col("count") > 0).join(panel, "gene", "left_semi").select("sample_id", "cell_id", "gene")
@@ -35,30 +43,29 @@ def cell_features(cells: DataFrame, expression: DataFrame, pairs: DataFrame) ->
     keys = typed.columns
     found = hits.join(typed, ["sample_id", "cell_id"]).join(membership, "gene")
     return (
-        found.groupBy(*keys, "kind", "item").agg(F.count("*").alias("have"), F.first("need").alias("need"))
-        .where("have = need").select(*keys, "kind", "item")
+        found.groupBy(*keys, "item").agg(F.count("*").alias("have"), F.first("need").alias("need"))
+        .where("have = need").select(*keys, "item")
     )
 
 
-def region_gene_counts(counts: DataFrame) -> DataFrame:
+def region_gene_counts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Expressing cells per (region, cell type, gene)."""
-    return counts.where("kind = 'gene'").drop("kind").withColumnRenamed("item", "gene")
+    names = small_table(feature_codes(pairs).where("gene IS NOT NULL").select("item", "gene"))
+    return counts.join(names, "item").drop("item")
 
 
 def complex_counts(counts: DataFrame, pairs: DataFrame, region: list[str]) -> DataFrame:
     """Per region, cell type and pair: side L / R as the least of its gene counts, side A
     as the co-expressing cells. A side with a missing gene has no row."""
-    genes = lrdb.pair_genes(pairs)
+    codes = feature_codes(pairs)
+    sides = lrdb.pair_genes(pairs).join(codes.where("gene IS NOT NULL").select("gene", "item"), "gene")
     membership = small_table(
-        genes.select(
-            F.lit("gene").alias("kind"), F.col("gene").alias("item"), "lr_id", "side", F.col("n_genes").cast("long").alias("need")
-        ).unionByName(pairs.select(
-            F.lit("pair").alias("kind"), F.col("lr_id").cast("string").alias("item"), "lr_id",
-            F.lit("A").alias("side"), F.lit(1).cast("long").alias("need"),
-        ))
+        sides.select("item", "lr_id", "side", F.col("n_genes").cast("long").alias("need")).unionByName(
+            codes.where("lr_id IS NOT NULL").select("item", "lr_id", F.lit("A").alias("side"), F.lit(1).cast("long").alias("need"))
+        )
     )
     return (
-        counts.join(membership, ["kind", "item"])
+        counts.join(membership, "item")
         .groupBy(*region, "lr_id", "side", "cell_type")
         .agg(F.min("n").alias("n"), F.count("*").alias("have"), F.first("need").alias("need"))
         .where("have = need").drop("have", "need")
@@ -95,13 +102,13 @@ def pair_values(counts: DataFrame, pairs: DataFrame, region: list[str], contact:
 
 
 def patch_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0) -> DataFrame:
-    """(sample_id, region_id, cell_type, kind, item, n) over grid patches."""
+    """(sample_id, region_id, cell_type, item, n) over grid patches."""
     placed = regions.assign_patches(cells, size).where(F.col("patch_id").isNotNull()).select(
         "sample_id", "cell_id", "cell_type", F.col("patch_id").alias("region_id")
     )
     # Combined on the map side, so a crowded patch shuffles one row per (type, item).
     counts = cell_features(placed, expression, pairs).groupBy(
-        "sample_id", "region_id", "cell_type", "kind", "item"
+        "sample_id", "region_id", "cell_type", "item"
     ).agg(F.count("*").alias("n"))
     # From here on everything is grouped inside a region: one exchange serves all of it.
     return counts.repartition("sample_id", "region_id")
@@ -116,8 +123,8 @@ def neighborhood_counts(cells: DataFrame, expression: DataFrame, pairs: DataFram
     """Counts over square neighborhoods, per distinct center position."""
     here = cell_features(
         cells.select("sample_id", "cell_id", "x", "y", "cell_type"), expression, pairs
-    ).groupBy("sample_id", "x", "y", "cell_type", "kind", "item").agg(F.count("*").alias("n"))
-    return regions.square_sums(regions.positions(cells, size), here, size, ["cell_type", "kind", "item"], **kw)
+    ).groupBy("sample_id", "x", "y", "cell_type", "item").agg(F.count("*").alias("n"))
+    return regions.square_sums(regions.positions(cells, size), here, size, ["cell_type", "item"], **kw)
 
 
 def cell_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0, **kw) -> DataFrame:

@@ -167,7 +167,8 @@ def square_sums(
     position and item. Result: POSITION + item + n.
 
     Buckets of ordinary density join directly: points are copied to the nine buckets
-    around them, centers stay at home, so the sums need no further shuffle. Buckets with
+    around them, centers stay at home, and the join is kept partitioned by bucket, so the
+    sums (and all grouping by center after them) need no further shuffle. Buckets with
     more than ``hot`` distinct positions go through a quadtree whose fully covered nodes
     contribute one pre-aggregated row each.
     """
@@ -193,7 +194,7 @@ def square_sums(
             .join(hot_buckets, ["sample_id", "bx", "by"], "left_anti").drop("bx", "by")
         )
     near = (
-        cold_centers.join(_spread(cold_points, half), ["sample_id", "bx", "by"])
+        cold_centers.hint("merge").join(_spread(cold_points, half), ["sample_id", "bx", "by"])
         .where(_in_square("px", "py", "cx", "cy", half))
         .select(*POSITION, F.inline("items"))
     )

@@ -67,3 +67,14 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def require(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)
+
+
+def with_each(df: DataFrame, dim: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Repeat every row for each row of a proven-small dimension (types, motifs)."""
+    rows = dim.limit(max_rows + 1).collect()
+    require(len(rows) <= max_rows, f"dimension {dim.columns} holds more than {max_rows} rows")
+    fields = dim.schema.fields
+    items = F.array(*[
+        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows
+    ]) if rows else F.array().cast(f"array<{dim.schema.simpleString()}>")
+    return df.select("*", F.inline(items))
