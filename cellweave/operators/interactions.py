@@ -223,3 +223,30 @@ def sample_info(cells: DataFrame, patches: DataFrame) -> DataFrame:
         F.max("global_patch_idx").alias("global_patch_idx_end"),
     )
     return n_cells.join(n_patches, "sample_id")
+
+
+def shared_genes(genes: DataFrame) -> DataFrame:
+    """Genes present in the panel of every sample."""
+    n_samples = small_table(genes.agg(F.countDistinct("sample_id").alias("n_samples")))
+    present = genes.groupBy("gene").agg(F.countDistinct("sample_id").alias("n"))
+    return present.join(n_samples, F.col("n") == F.col("n_samples")).select("gene")
+
+
+def all_celltypes(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cell types over all samples with cell counts, and the count of untyped cells."""
+    counts = cells.groupBy("cell_type").agg(F.count("*").alias("n_cells"))
+    return counts.where("cell_type IS NOT NULL"), counts.where("cell_type IS NULL")
+
+
+def with_sample(merged: DataFrame, sample_column: str) -> DataFrame:
+    """Merged input as multi-sample input: the sample is a key column; null samples drop."""
+    keyed = merged if sample_column == "sample_id" else merged.withColumnRenamed(sample_column, "sample_id")
+    return keyed.where(F.col("sample_id").isNotNull())
+
+
+def stack_samples(tables: list[DataFrame]) -> DataFrame:
+    """One table over several sources with equal columns."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -311,3 +311,14 @@ def average_neighborhood_size(cells: DataFrame, size: float = 50.0) -> DataFrame
     return both.groupBy("sample_id").agg(
         F.sum("n").alias("n_cells"), (F.sum(F.col("n") * F.col("nbrs")) / F.sum("n")).alias("avg_neighborhood_size")
     )
+
+
+def cells_per_patch(patches: DataFrame, bins: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Summary row and histogram of cells per patch. Exact median: it merges value counts."""
+    from cellweave.operators.motifs import histogram
+
+    summary = patches.agg(
+        F.count("*").alias("n_patches"), F.sum("n_cells").alias("n_cells"), F.avg("n_cells").alias("mean"),
+        F.median("n_cells").alias("median"), F.min("n_cells").alias("min"), F.max("n_cells").alias("max"),
+    )
+    return summary, histogram(patches, F.col("n_cells"), bins)
