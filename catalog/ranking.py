@@ -61,16 +61,14 @@ base.CTE["outr"] = """
   SELECT *, row_number() OVER (PARTITION BY motif ORDER BY weight DESC, celltype1, celltype2) AS rn FROM outl WHERE score > 0.8"""
 
 
-@query("win_edge_outlier", """
-, greedy AS MATERIALIZED (SELECT 1)
-SELECT motif, celltype1, celltype2, round(weight, 6) AS weight, round(score, 6) AS score FROM outr WHERE rn = 1""")
+@query("win_edge_outlier")
 def _(t: Inputs):
     kept = motifs.outlier_edges(motifs.network_edges(motif_table(t), 40), 4, 0.8)
     return kept.withColumn("weight", F.round("weight", 6)).withColumn("score", F.round("score", 6))
 
 
 # The greedy choice as a recursion over the ranked edges of each motif.
-base.SQL["win_edge_outlier"] = base.sql("SELECT 1 FROM outr").replace("SELECT 1 FROM outr", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+base.SQL["win_edge_outlier"] = base.sql("FROM outr").removesuffix("FROM outr").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
 steps(motif, rn, nodes, taken) AS (
   SELECT motif, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false FROM (SELECT DISTINCT motif FROM outr)
   UNION ALL
@@ -170,8 +168,7 @@ def _(t: Inputs):
 
 @query("stat_markers", "SELECT cell_type, gene FROM mwq WHERE padj <= 0.9 AND log2fc >= 0.01")
 def _(t: Inputs):
-    # Groups above the subsample size would be drawn; here every group is smaller.
-    d = stats.differential_expression(t.cells(), t.expression(), subsample=50_000)
+    d = stats.differential_expression(t.cells(), t.expression())
     return stats.marker_genes(d, lfc=0.01, p=0.9)
 
 

@@ -144,6 +144,8 @@ def poisson_glm(cov: DataFrame, expression: DataFrame, keep: DataFrame | None =
             return pd.DataFrame(columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
         return _fit_tile(g, b, max_iter)
 
+    # Both sides stem from the covariates; renaming gives the bins columns of their own.
+    bins = bins.toDF(*bins.columns)
     fitted = genes.withColumn("tile", F.col("tile").cast("long")).groupBy(*key).cogroup(bins.groupBy(*key)).applyInPandas(fit, FIT_SCHEMA)
     clean = lambda c: F.when(F.col("converged"), F.col(c)).alias(c)
     return fitted.select("motif", "cell_type", "gene", clean("intercept"), clean("logfc"), clean("se"), clean("pval"), "converged")
