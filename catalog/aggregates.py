@@ -34,7 +34,7 @@ def _(t: Inputs):
 
 @query("agg_patch_lri", "SELECT * FROM pmatrix")
 def _(t: Inputs):
-    return t.matrix()
+    return interactions.patch_lri(t.cells(), t.expression(), t.pairs())
 
 
 @query("agg_cell_lri", "SELECT * FROM nmatrix")
@@ -96,8 +96,7 @@ def _(t: Inputs):
 
 @query("agg_col_means", "SELECT lri_idx, round(sum(value) / (SELECT count(*) FROM patchtable), 6) AS mean FROM pmatrix JOIN lri USING (lr_id, celltype1, celltype2, mode) GROUP BY ALL")
 def _(t: Inputs):
-    matrix, pairs = t.matrix(), t.pairs()
-    indexed = interactions.indexed_matrix(matrix, interactions.lri_columns(matrix, pairs))
+    indexed = interactions.indexed_matrix(t.matrix(), t.lri())
     return motifs.column_means(indexed, occupied(t)).select("lri_idx", r6("mean", "mean"))
 
 

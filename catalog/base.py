@@ -7,13 +7,14 @@ query's SQL names the CTEs it needs and ``sql()`` prepends them with their depen
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave import schema as S
 from cellweave.operators import interactions, lrdb
+from cellweave.session import cut_lineage, local_copy
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,14 +115,27 @@ class Inputs:
     def part_lr(self) -> DataFrame:
         return self.table("part").selectExpr(*_columns(PART_PAIRS))
 
-    def pairs(self) -> DataFrame:
+    @cached_property
+    def _pairs(self) -> DataFrame:
         return lrdb.usable_pairs(self.lr(), self.panel())
 
+    def pairs(self) -> DataFrame:
+        return self._pairs
+
+    @cached_property
+    def _matrix(self) -> DataFrame:
+        # Stored once per query, as the batch stages do: its users read it several times.
+        return cut_lineage(interactions.patch_lri(self.cells(), self.expression(), self.pairs()))
+
     def matrix(self) -> DataFrame:
-        return interactions.patch_lri(self.cells(), self.expression(), self.pairs())
+        return self._matrix
+
+    @cached_property
+    def _lri(self) -> DataFrame:
+        return local_copy(interactions.lri_columns(self.matrix(), self.pairs()))
 
     def lri(self) -> DataFrame:
-        return interactions.lri_columns(self.matrix(), self.pairs())
+        return self._lri
 
     def motifs(self) -> DataFrame:
         return self.spark.range(K).selectExpr("CAST(id AS INT) AS motif")

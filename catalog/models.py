@@ -168,8 +168,7 @@ _fit_ctes()
 
 
 def fit_inputs(t: Inputs):
-    matrix, pairs = t.matrix(), t.pairs()
-    columns = interactions.lri_columns(matrix, pairs)
+    matrix, columns = t.matrix(), t.lri()
     rows = regions.assign_patches(t.cells()).where("patch_id IS NOT NULL").select(
         "sample_id", F.col("patch_id").alias("region_id")
     ).distinct()
@@ -259,8 +258,7 @@ base.CTE["thinp"] = """
 
 
 def _indexed(t: Inputs):
-    matrix, pairs = t.matrix(), t.pairs()
-    return interactions.indexed_matrix(matrix, interactions.lri_columns(matrix, pairs))
+    return interactions.indexed_matrix(t.matrix(), t.lri())
 
 
 @query("mdl_thin", "SELECT lri_idx, round(mean, 6) AS mean, round(p, 6) AS p FROM thinp")

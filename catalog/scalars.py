@@ -128,8 +128,7 @@ base.CTE["lm"] = """
 
 
 def motif_table(t: Inputs):
-    matrix, pairs = t.matrix(), t.pairs()
-    columns = interactions.lri_columns(matrix, pairs)
+    matrix, columns = t.matrix(), t.lri()
     n_regions = occupied(t)
     means = motifs.column_means(interactions.indexed_matrix(matrix, columns), n_regions)
     ks = F.explode(F.array(*[F.lit(k) for k in range(base.K)])).alias("k")

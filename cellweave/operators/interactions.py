@@ -15,76 +15,96 @@ from cellweave.operators import lrdb, regions
 from cellweave.session import local_copy, require, small_table
 
 
-def feature_codes(pairs: DataFrame) -> DataFrame:
-    """(item, gene, lr_id): integer codes of LR genes (lr_id null) and LR pairs (gene null)."""
-    genes = lrdb.pair_genes(pairs).select("gene").distinct()
-    named = genes.select("gene", F.lit(None).cast("int").alias("lr_id")).unionByName(
-        pairs.select(F.lit(None).cast("string").alias("gene"), "lr_id")
-    )
-    return local_copy(named.withColumn("item", F.row_number().over(Window.orderBy("gene", "lr_id"))))
+class PairTables:
+    """Small tables derived from the usable pairs, evaluated together in one job.
+
+    Every LR gene and every LR pair has an integer ``item``. ``features`` says which items a
+    cell's gene belongs to and how many genes the item needs; ``sides`` says which side of
+    which pair an item counts for and how many items that side needs. All tables have at
+    most a few rows per gene of a pair; they are broadcast only if proven small.
+    """
+
+    def __init__(self, pairs: DataFrame, contact: str = lrdb.CONTACT):
+        self.pairs = pairs
+        genes = lrdb.pair_genes(pairs)
+        by_gene = genes.groupBy("gene").agg(F.collect_set("lr_id").alias("lrs"), F.collect_list(F.struct("lr_id", "side", "n_genes")).alias("roles"))
+        # Items 1.. are genes; pair items are negative, so the two never meet.
+        coded = by_gene.withColumn("item", F.row_number().over(Window.orderBy("gene")))
+        pair_item = F.transform("lrs", lambda lr: -lr - 1)
+        needed = genes.groupBy("lr_id").agg(F.countDistinct("gene").alias("need"))
+        gene_rows = coded.select(
+            "gene", F.lit(None).cast("int").alias("lr_id"), F.lit("gene").alias("side"), "item", F.lit(1).cast("long").alias("need")
+        )
+        member_rows = coded.select("gene", F.explode(F.arrays_zip(F.col("lrs").alias("lr_id"), pair_item.alias("item"))).alias("m")).select(
+            "gene", "m.lr_id", "m.item"
+        ).join(needed, "lr_id").select("gene", "lr_id", F.lit("pair").alias("side"), "item", "need")
+        side_rows = coded.select("item", F.inline("roles")).select(
+            F.lit(None).cast("string").alias("gene"), "lr_id", "side", "item", F.col("n_genes").cast("long").alias("need")
+        )
+        auto_rows = needed.select(
+            F.lit(None).cast("string").alias("gene"), "lr_id", F.lit("A").alias("side"), (-F.col("lr_id") - 1).alias("item"), F.lit(1).cast("long").alias("need")
+        )
+        rows = gene_rows.unionByName(member_rows).unionByName(side_rows).unionByName(auto_rows)
+        local = local_copy(rows)
+        self._hint = F.broadcast if local is not rows else (lambda df: df)
+        named = local.where("gene IS NOT NULL")
+        self.panel = self._hint(named.where("side = 'gene'").select("gene"))
+        self.names = self._hint(named.where("side = 'gene'").select("item", "gene"))
+        self.features = self._hint(named.select("gene", "item", "need"))
+        self.sides = self._hint(local.where("gene IS NULL").select("item", "lr_id", "side", "need"))
+        self.kinds = self._hint(pairs.select("lr_id", (F.col("signaling_type") == contact).alias("is_contact")))
+
+
+def tables_of(pairs: DataFrame | PairTables) -> PairTables:
+    return pairs if isinstance(pairs, PairTables) else PairTables(pairs)
 
 
-def cell_features(cells: DataFrame, expression: DataFrame, pairs: DataFrame) -> DataFrame:
+def cell_features(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables) -> DataFrame:
     """(cells.*, item): expressed LR genes and co-expressed LR pairs of typed cells.
 
     LR genes are selected before the join to cells, and both the join and the grouping
     can share one partitioning by cell.
     """
-    codes = feature_codes(pairs)
-    genes = lrdb.pair_genes(pairs).select("lr_id", "gene").distinct()
-    whole_pair = genes.withColumn("need", F.count("*").over(Window.partitionBy("lr_id")))
-    membership = small_table(
-        codes.where("gene IS NOT NULL").select("gene", "item", F.lit(1).cast("long").alias("need"))
-        .unionByName(whole_pair.join(codes.where("lr_id IS NOT NULL").select("lr_id", "item"), "lr_id").select("gene", "item", "need"))
-    )
-    panel = small_table(genes.select("gene").distinct())
-    hits = expression.where(F.col("count") > 0).join(panel, "gene", "left_semi").select("sample_id", "cell_id", "gene")
+    p = tables_of(pairs)
+    hits = expression.where(F.col("count") > 0).join(p.panel, "gene", "left_semi").select("sample_id", "cell_id", "gene")
     typed = cells.where(F.col("cell_type").isNotNull())
     keys = typed.columns
-    found = hits.join(typed, ["sample_id", "cell_id"]).join(membership, "gene")
+    found = hits.join(typed, ["sample_id", "cell_id"]).join(p.features, "gene")
     return (
         found.groupBy(*keys, "item").agg(F.count("*").alias("have"), F.first("need").alias("need"))
         .where("have = need").select(*keys, "item")
     )
 
 
-def region_gene_counts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def region_gene_counts(counts: DataFrame, pairs: DataFrame | PairTables) -> DataFrame:
     """Expressing cells per (region, cell type, gene)."""
-    names = small_table(feature_codes(pairs).where("gene IS NOT NULL").select("item", "gene"))
-    return counts.join(names, "item").drop("item")
+    return counts.join(tables_of(pairs).names, "item").drop("item")
 
 
-def complex_counts(counts: DataFrame, pairs: DataFrame, region: list[str]) -> DataFrame:
+def complex_counts(counts: DataFrame, pairs: DataFrame | PairTables, region: list[str]) -> DataFrame:
     """Per region, cell type and pair: side L / R as the least of its gene counts, side A
     as the co-expressing cells. A side with a missing gene has no row."""
-    codes = feature_codes(pairs)
-    sides = lrdb.pair_genes(pairs).join(codes.where("gene IS NOT NULL").select("gene", "item"), "gene")
-    membership = small_table(
-        sides.select("item", "lr_id", "side", F.col("n_genes").cast("long").alias("need")).unionByName(
-            codes.where("lr_id IS NOT NULL").select("item", "lr_id", F.lit("A").alias("side"), F.lit(1).cast("long").alias("need"))
-        )
-    )
     return (
-        counts.join(membership, "item")
+        counts.join(tables_of(pairs).sides, "item")
         .groupBy(*region, "lr_id", "side", "cell_type")
         .agg(F.min("n").alias("n"), F.count("*").alias("have"), F.first("need").alias("need"))
         .where("have = need").drop("have", "need")
     )
 
 
-def pair_values(counts: DataFrame, pairs: DataFrame, region: list[str], contact: str = lrdb.CONTACT) -> DataFrame:
+def pair_values(counts: DataFrame, pairs: DataFrame | PairTables, region: list[str]) -> DataFrame:
     """(region, lr_id, celltype1, celltype2, mode, value), nonzero rows only.
 
     Sender and receiver lists per (region, pair) hold at most one entry per cell type.
     """
-    sides = complex_counts(counts, pairs, region)
+    p = tables_of(pairs)
+    sides = complex_counts(counts, p, region)
     entry = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("cell_type", "n")))
     lists = sides.groupBy(*region, "lr_id").agg(
         entry("L").alias("senders"), entry("R").alias("receivers"), entry("A").alias("auto")
     ).where((F.size("senders") > 0) & (F.size("receivers") > 0))
-    kinds = small_table(pairs.select("lr_id", (F.col("signaling_type") == contact).alias("is_contact")))
     crossed = (
-        lists.join(kinds, "lr_id")
+        lists.join(p.kinds, "lr_id")
         .withColumn("auto", F.map_from_entries("auto"))
         .select(*region, "lr_id", "is_contact", "auto", "receivers", F.inline("senders").alias("celltype1", "n1"))
         .select(*region, "lr_id", "is_contact", "auto", "celltype1", "n1", F.inline("receivers").alias("celltype2", "n2"))
@@ -101,7 +121,7 @@ def pair_values(counts: DataFrame, pairs: DataFrame, region: list[str], contact:
     return crossed.select(*region, "lr_id", "celltype1", "celltype2", F.inline(split)).where("value <> 0")
 
 
-def patch_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0) -> DataFrame:
+def patch_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0) -> DataFrame:
     """(sample_id, region_id, cell_type, item, n) over grid patches."""
     placed = regions.assign_patches(cells, size).where(F.col("patch_id").isNotNull()).select(
         "sample_id", "cell_id", "cell_type", F.col("patch_id").alias("region_id")
@@ -114,12 +134,13 @@ def patch_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size
     return counts.repartition("sample_id", "region_id")
 
 
-def patch_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0) -> DataFrame:
+def patch_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0) -> DataFrame:
     """Patch x interaction matrix in long form."""
-    return pair_values(patch_counts(cells, expression, pairs, size), pairs, ["sample_id", "region_id"])
+    p = tables_of(pairs)
+    return pair_values(patch_counts(cells, expression, p, size), p, ["sample_id", "region_id"])
 
 
-def neighborhood_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0, **kw) -> DataFrame:
+def neighborhood_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, **kw) -> DataFrame:
     """Counts over square neighborhoods, per distinct center position."""
     here = cell_features(
         cells.select("sample_id", "cell_id", "x", "y", "cell_type"), expression, pairs
@@ -127,13 +148,14 @@ def neighborhood_counts(cells: DataFrame, expression: DataFrame, pairs: DataFram
     return regions.square_sums(regions.positions(cells, size), here, size, ["cell_type", "item"], **kw)
 
 
-def cell_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame, size: float = 50.0, **kw) -> DataFrame:
+def cell_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, **kw) -> DataFrame:
     """Cell x interaction matrix in long form; ``region_id`` is the center cell.
 
     Values are computed once per distinct position, then handed to all cells there.
     """
-    counts = neighborhood_counts(cells, expression, pairs, size, **kw)
-    values = pair_values(counts, pairs, regions.POSITION)
+    p = tables_of(pairs)
+    counts = neighborhood_counts(cells, expression, p, size, **kw)
+    values = pair_values(counts, p, regions.POSITION)
     centers = cells.select("sample_id", F.col("cell_id").alias("region_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     return values.join(centers, ["sample_id", "cx", "cy"]).select(
         "sample_id", "region_id", "lr_id", "celltype1", "celltype2", "mode", "value"
