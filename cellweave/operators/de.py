@@ -48,7 +48,7 @@ def covariate_bins(cov: DataFrame) -> DataFrame:
 def gene_sums(cov: DataFrame, expression: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """Per (motif, cell type, gene): sum of y and of x y over nonzero counts."""
     hits = expression.where(F.col("count") > 0)
-    entries = hits.join(stats.per_cell(cov, "x"), ["sample_id", "cell_id"]).select(
+    entries = hits.join(stats.per_cell(cov, "x").hint("merge"), ["sample_id", "cell_id"]).select(
         "cell_type", "gene", "count", F.inline("entries")
     )
     sums = entries.groupBy("motif", "cell_type", "gene").agg(

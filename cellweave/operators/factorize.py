@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.special import digamma, log_gamma
-from cellweave.session import cut_lineage, small_table, with_each
+from cellweave.functions.special import DIGAMMA_SERIES, SHIFT, digamma, log_gamma
+from cellweave.session import cut_lineage, local_copy, small_table, with_each
 
 ALPHA = 0.1
+# Nonzeros updated at once in a projection task (times K doubles of working memory).
+MAX_NONZEROS = 1_000_000
 
 
 def hash_start(keys: list[str], seed: int) -> Callable[[int], Column]:
@@ -179,16 +181,11 @@ def history_table(model: Model, spark) -> DataFrame:
     return spark.createDataFrame(model.history, "iteration int, elbo double, delta double")
 
 
-def _project_batch(batch: pd.DataFrame, k: int, alpha: float, beta: float, col_sum: np.ndarray, max_iter: int, tol: float, start: float) -> pd.DataFrame:
-    """Row updates of one Arrow batch of cells, all cells at once, columns fixed."""
-    counts = [np.asarray(v, dtype=float) for v in batch["values"]]
-    sizes = np.array([len(c) for c in counts])
-    y = np.concatenate(counts)
-    # Each entry of ``cgs`` is the flat list of a cell's column factors, K per nonzero.
-    v = np.concatenate([np.asarray(c, dtype=float) for c in batch["cgs"]]).reshape(-1, k)
+def _project_batch(y: np.ndarray, v: np.ndarray, sizes: np.ndarray, alpha: float, rate: np.ndarray, max_iter: int, tol: float, start: float) -> np.ndarray:
+    """Row updates of many cells at once, columns fixed: ``y`` and ``v`` list the counts and
+    column factors of all cells one after another, ``sizes`` says how many each cell has."""
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    rate = alpha * beta + col_sum
-    g = np.full((len(sizes), k), start)
+    g = np.full((len(sizes), v.shape[1]), start)
     # Cells stop on their own, so a result does not depend on who shares the batch.
     live = np.ones(len(sizes), dtype=bool)
     for _ in range(max_iter):
@@ -196,21 +193,15 @@ def _project_batch(batch: pd.DataFrame, k: int, alpha: float, beta: float, col_s
         share = a * (y / a.sum(1))[:, None]
         shape = alpha + np.add.reduceat(share, first, axis=0)
         new = np.exp(_digamma(shape)) / rate
-        change = np.abs(new - g).max(1)
-        moved = change > tol * np.maximum(1e-300, np.abs(g).max(1))
+        moved = np.abs(new - g).max(1) > tol * np.maximum(1e-300, np.abs(g).max(1))
         g = np.where(live[:, None], new, g)
         live &= moved
         if not live.any():
             break
-    out = batch.drop(columns=["values", "cgs"]).copy()
-    for i in range(k):
-        out[f"g{i}"] = g[:, i]
-    return out
+    return g
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
-    from cellweave.functions.special import DIGAMMA_SERIES, SHIFT
-
     z = x + SHIFT
     inv2 = 1 / (z * z)
     series = np.zeros_like(z)
@@ -227,31 +218,61 @@ def project(
 ) -> DataFrame:
     """(sample_id, cell_id, motif, loading) of every cell, with the column factors fixed.
 
-    Rows are independent given the columns: thin counts are shuffled once by cell, get
-    their column's factors (broadcast if proven small), and each cell's at most
-    one-row-per-column list is updated in Arrow batches. Cells without counts keep the
-    prior shape. ``tol`` is a relative change at which a cell stops early.
+    Rows are independent given the columns: thin counts are shuffled once by cell, and each
+    cell's list (at most one entry per column) is updated in Arrow batches. Column factors
+    proven small travel to the tasks as one broadcast matrix; otherwise they are joined to
+    the counts first. Cells without counts keep the prior shape. ``tol`` is a relative
+    change at which a cell stops early.
     """
+    spark = matrix.sparkSession
     k, alpha, beta = model.k, model.alpha, model.row_beta
-    sums = _sums(model.cols, k)
-    col_sum = np.array(sums["e"])
-    key = ["sample_id", "region_id"]
-    factors = model.cols.select(*model.col_keys, F.array(*[F.col(f"g{i}") for i in range(k)]).alias("cg"))
-    lists = (
-        matrix.select(*key, *model.col_keys, "value").repartition(*key)
-        .join(small_table(factors), model.col_keys)
-        .groupBy(*key).agg(F.collect_list(F.struct("value", "cg")).alias("entries"))
-        .select(*key, F.col("entries.value").alias("values"), F.flatten("entries.cg").alias("cgs"))
-    )
-    fields = ", ".join(f"g{i} double" for i in range(k))
+    col_sum = np.array(_sums(model.cols, k)["e"])
+    rate = alpha * beta + col_sum
+    key, col_key = ["sample_id", "region_id"], model.col_keys
+    factors = model.cols.select(*col_key, F.array(*[F.col(f"g{i}") for i in range(k)]).alias("cg"))
+    local = local_copy(factors) if len(col_key) == 1 else factors
+    thin_counts = matrix.select(*key, *col_key, "value").repartition(*key)
+    shared = None
+    if local is not factors:
+        table = local.toPandas().sort_values(col_key[0])
+        shared = spark.sparkContext.broadcast(
+            (table[col_key[0]].to_numpy(), np.array(table["cg"].tolist(), dtype=float).reshape(-1, k))
+        )
+        entries = thin_counts.join(F.broadcast(local.select(*col_key)), col_key, "left_semi").groupBy(*key).agg(
+            F.collect_list(F.struct("value", F.col(col_key[0]).alias("column"))).alias("entries")
+        )
+        lists = entries.select(*key, F.col("entries.value").alias("values"), F.col("entries.column").alias("extra"))
+    else:
+        entries = thin_counts.join(factors, col_key).groupBy(*key).agg(F.collect_list(F.struct("value", "cg")).alias("entries"))
+        lists = entries.select(*key, F.col("entries.value").alias("values"), F.flatten("entries.cg").alias("extra"))
 
-    def update(batches):
+    def pieces(batches):
+        # A batch holds a fixed number of cells; bound the nonzeros worked on at once too.
         for batch in batches:
-            if len(batch):
-                yield _project_batch(batch, k, alpha, beta, col_sum, max_iter, tol, start)
+            ends = np.cumsum([len(c) for c in batch["values"]])
+            group = (ends - 1) // MAX_NONZEROS if len(ends) else ends
+            for g in np.unique(group):
+                yield batch[group == g].reset_index(drop=True)
 
+    def update(batches):
+        for batch in pieces(batches):
+            sizes = np.array([len(c) for c in batch["values"]])
+            extra = np.concatenate(batch["extra"].to_list())
+            if shared is not None:
+                columns, values = shared.value
+                v = values[np.searchsorted(columns, extra)]
+            else:
+                v = extra.astype(float).reshape(-1, k)
+            y = np.concatenate(batch["values"].to_list()).astype(float)
+            g = _project_batch(y, v, sizes, alpha, rate, max_iter, tol, start)
+            out = batch[key].copy()
+            for i in range(k):
+                out[f"g{i}"] = g[:, i]
+            yield out
+
+    fields = ", ".join(f"g{i} double" for i in range(k))
     found = lists.mapInPandas(update, f"sample_id string, region_id bigint, {fields}")
-    prior = np.exp(_digamma(np.full(k, alpha))) / (alpha * beta + col_sum)
+    prior = np.exp(_digamma(np.full(k, alpha))) / rate
     all_cells = cells.select("sample_id", F.col("cell_id").alias("region_id")).join(found, key, "left")
     entries = F.array(*[
         F.struct(F.lit(i).alias("motif"), F.coalesce(f"g{i}", F.lit(float(prior[i]))).alias("loading")) for i in range(k)

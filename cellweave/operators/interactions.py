@@ -62,14 +62,14 @@ def tables_of(pairs: DataFrame | PairTables) -> PairTables:
 def cell_features(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables) -> DataFrame:
     """(cells.*, item): expressed LR genes and co-expressed LR pairs of typed cells.
 
-    LR genes are selected before the join to cells, and both the join and the grouping
-    can share one partitioning by cell.
+    LR genes are selected before the join to cells. Expression and cells are both facts:
+    the join is asked to stay partitioned by cell, and the grouping then needs no shuffle.
     """
     p = tables_of(pairs)
     hits = expression.where(F.col("count") > 0).join(p.panel, "gene", "left_semi").select("sample_id", "cell_id", "gene")
     typed = cells.where(F.col("cell_type").isNotNull())
     keys = typed.columns
-    found = hits.join(typed, ["sample_id", "cell_id"]).join(p.features, "gene")
+    found = hits.join(typed.hint("merge"), ["sample_id", "cell_id"]).join(p.features, "gene")
     return (
         found.groupBy(*keys, "item").agg(F.count("*").alias("have"), F.first("need").alias("need"))
         .where("have = need").select(*keys, "item")

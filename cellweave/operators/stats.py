@@ -39,8 +39,8 @@ def covariates(loadings: DataFrame, cells: DataFrame, skip_cell_types: list[str]
 
 def per_cell(cov: DataFrame, *fields: str) -> DataFrame:
     """One row per cell with its (at most K) motif entries, for one join to expression."""
-    return cov.groupBy("sample_id", "cell_id", "cell_type").agg(
-        F.collect_list(F.struct("motif", *fields)).alias("entries")
+    return cov.groupBy("sample_id", "cell_id").agg(
+        F.first("cell_type").alias("cell_type"), F.collect_list(F.struct("motif", *fields)).alias("entries")
     )
 
 
@@ -55,7 +55,7 @@ def spearman(cov: DataFrame, expression: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("sxx")
     ))
     ranked = cov.join(x_ranks.select(*group, "x", F.col("rank").alias("rx")), [*group, "x"])
-    hits = expression.where(F.col("count") > 0).join(per_cell(ranked, "rx"), ["sample_id", "cell_id"])
+    hits = expression.where(F.col("count") > 0).join(per_cell(ranked, "rx").hint("merge"), ["sample_id", "cell_id"])
     values = hits.select("cell_type", "gene", "count", F.inline("entries")).groupBy(*group, "gene", "count").agg(
         F.count("*").alias("nv"), F.sum("rx").alias("srx")
     )
@@ -161,7 +161,7 @@ def value_histogram(cells: DataFrame, expression: DataFrame) -> DataFrame:
     """(cell_type, gene, count, n): cells of a type at each nonzero count of a gene."""
     typed = cells.where(F.col("cell_type").isNotNull()).select("sample_id", "cell_id", "cell_type")
     hits = expression.where(F.col("count") > 0).select("sample_id", "cell_id", "gene", "count")
-    return hits.join(typed, ["sample_id", "cell_id"]).groupBy("cell_type", "gene", "count").agg(F.count("*").alias("nt"))
+    return hits.join(typed.hint("merge"), ["sample_id", "cell_id"]).groupBy("cell_type", "gene", "count").agg(F.count("*").alias("nt"))
 
 
 def differential_expression(
@@ -190,7 +190,7 @@ def differential_expression(
             F.count_if("is_in").alias("n1"), F.count("*").alias("n")
         ).withColumnRenamed("target", "cell_type"))
         hits = expression.where(F.col("count") > 0).select("sample_id", "cell_id", "gene", "count")
-        hist = hits.join(drawn, ["sample_id", "cell_id"]).groupBy(
+        hist = hits.join(drawn.hint("merge"), ["sample_id", "cell_id"]).groupBy(
             F.col("target").alias("cell_type"), "gene", "count"
         ).agg(F.count("*").alias("nv"), F.count_if("is_in").alias("n_in"))
         keyed = _zero_aware_ranks(hist.join(sizes.select("cell_type", "n"), "cell_type"), ["cell_type"])
@@ -257,6 +257,6 @@ def expression_fraction(cells: DataFrame, expression: DataFrame) -> DataFrame:
     sizes = small_table(typed.groupBy("cell_type").agg(F.count("*").alias("n_cells")))
     hits = expression.where(F.col("count") > 0).select("sample_id", "cell_id", "gene")
     return (
-        hits.join(typed, ["sample_id", "cell_id"]).groupBy("cell_type", "gene").agg(F.count("*").alias("n_expr"))
+        hits.join(typed.hint("merge"), ["sample_id", "cell_id"]).groupBy("cell_type", "gene").agg(F.count("*").alias("n_expr"))
         .join(sizes, "cell_type").select("cell_type", "gene", "n_expr", (F.col("n_expr") / F.col("n_cells")).alias("fraction"))
     )
