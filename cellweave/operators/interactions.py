@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.names import lri_name
 from cellweave.operators import lrdb, regions
-from cellweave.session import local_copy, require, small_table
+from cellweave.session import local_copy, require, small_table, with_each
 
 
 class PairTables:
@@ -205,13 +205,9 @@ def align_columns(matrix: DataFrame, columns: DataFrame, required: DataFrame) ->
 
 def alignment_problems(model_names: DataFrame, cell_names: DataFrame) -> DataFrame:
     """One row of counts: repeated names on either side, and model names without a match."""
-    repeats = lambda d: d.groupBy("lri_name").count().where("count > 1").agg(F.count("*").alias("n"))
-    missing = model_names.join(cell_names, "lri_name", "left_anti").agg(F.count("*").alias("n"))
-    return (
-        repeats(model_names).select(F.col("n").alias("model_repeats"))
-        .crossJoin(repeats(cell_names).select(F.col("n").alias("cell_repeats")))
-        .crossJoin(missing.select(F.col("n").alias("missing")))
-    )
+    repeats = lambda d, name: d.groupBy("lri_name").count().where("count > 1").agg(F.count("*").alias(name))
+    missing = model_names.join(cell_names, "lri_name", "left_anti").agg(F.count("*").alias("missing"))
+    return with_each(with_each(repeats(model_names, "model_repeats"), repeats(cell_names, "cell_repeats")), missing)
 
 
 def require_aligned(model_names: DataFrame, cell_names: DataFrame) -> None:
@@ -226,10 +222,9 @@ def matrix_stats(matrix: DataFrame, n_regions: DataFrame, shared: DataFrame) ->
 
     ``n_regions`` is a one-row table with the number of regions, empty ones included.
     """
-    cols = matrix.select(*KEY).distinct().agg(F.count("*").alias("n_columns"))
-    nnz = matrix.agg(F.count("*").alias("nnz"))
+    cols = matrix.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_columns"), F.sum("n").alias("nnz"))
     genes = shared.agg(F.countDistinct("gene").alias("n_shared_genes"))
-    one = n_regions.crossJoin(cols).crossJoin(nnz).crossJoin(genes)
+    one = with_each(with_each(cols, n_regions), genes)
     filled = F.col("nnz") / (F.col("n_regions") * F.col("n_columns"))
     return one.select(
         "n_regions", "n_columns", "nnz", "n_shared_genes",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.names import lri_name, split_complex
-from cellweave.session import local_copy, require, small_table
+from cellweave.session import local_copy, require, small_table, with_each
 
 # Fixed value: the one signaling type that means direct contact.
 CONTACT = "Cell-Cell Contact"
@@ -111,20 +111,30 @@ def lri_space(lr: DataFrame, cell_types: DataFrame, contact: str = CONTACT) -> D
 
     This is a dimension built on request (both inputs are small); counting never needs it.
     """
-    ct = cell_types.select("cell_type")
-    space = (
-        lr.crossJoin(F.broadcast(ct.select(F.col("cell_type").alias("celltype1"))))
-        .crossJoin(F.broadcast(ct.select(F.col("cell_type").alias("celltype2"))))
-        .withColumn("mode", F.explode(modes_of(F.col("signaling_type"), F.expr("celltype1 = celltype2"), contact)))
+    senders = cell_types.select(F.col("cell_type").alias("celltype1"))
+    receivers = cell_types.select(F.col("cell_type").alias("celltype2"))
+    space = with_each(with_each(lr, senders), receivers).withColumn(
+        "mode", F.explode(modes_of(F.col("signaling_type"), F.expr("celltype1 = celltype2"), contact))
     )
     return number_lri(space.select("lr_id", "celltype1", "celltype2", "ligand", "receptor", "mode"))
 
 
 def number_lri(keys: DataFrame) -> DataFrame:
-    """Add the column index, in (database, sender, receiver, mode) order, and the name."""
-    order = Window.orderBy("lr_id", "celltype1", "celltype2", "mode")
-    return keys.withColumn("lri_idx", F.row_number().over(order) - 1).withColumn(
-        "lri_name", lri_name("celltype1", "celltype2", "ligand", "receptor", "mode")
+    """Add the column index, in (database, sender, receiver, mode) order, and the name.
+
+    Columns rank within their pair; running totals over the pairs of the database shift
+    them, so the whole column space is never one window.
+    """
+    within = Window.partitionBy("lr_id").orderBy("celltype1", "celltype2", "mode")
+    before = Window.orderBy("lr_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = small_table(
+        keys.groupBy("lr_id").agg(F.count("*").alias("_n"))
+        .select("lr_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    )
+    ranked = keys.withColumn("_r", F.row_number().over(within) - 1).join(offsets, "lr_id")
+    return ranked.select(
+        *keys.columns, (F.col("_r") + F.col("_before")).cast("int").alias("lri_idx"),
+        lri_name("celltype1", "celltype2", "ligand", "receptor", "mode").alias("lri_name"),
     )
 
 
@@ -152,8 +162,9 @@ def pathway_map(lr: DataFrame) -> DataFrame:
 def annotate_pathways(df: DataFrame, lr: DataFrame) -> DataFrame:
     """Add ``pathway`` by exact pair, else by first fuzzy containment, else ``Unknown``.
 
-    Only distinct (ligand, receptor) pairs are looked up; both sides of the containment
-    join are then at most the size of the LR database, not of the data.
+    Only distinct (ligand, receptor) pairs are looked up, and only those without an exact
+    entry are searched: both sides of the containment test are at most the size of the LR
+    database, never of the data.
     """
     lookup = small_table(pathway_map(lr))
     pairs = df.select("ligand", "receptor").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave import schema as S
-from cellweave.session import require
+from cellweave.session import require, with_each
 
 
 def read_samplesheet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +99,7 @@ def read_mask(wide: DataFrame, genes: DataFrame, cell_types: list[str]) -> DataF
     long = wide.unpivot("gene", cell_types, "cell_type", "is_marker")
     types = long.select("cell_type").distinct()
     return (
-        genes.select("gene").distinct().crossJoin(F.broadcast(types))
+        with_each(genes.select("gene").distinct(), types)
         .join(long, ["gene", "cell_type"], "left")
         .select("gene", "cell_type", F.coalesce(F.col("is_marker").cast("boolean"), F.lit(False)).alias("is_marker"))
     )
