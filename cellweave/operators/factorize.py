@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.special import DIGAMMA_SERIES, SHIFT, digamma, log_gamma
-from cellweave.session import cut_lineage, local_copy, small_table, with_each
+from cellweave.session import BROADCAST_ROWS, cut_lineage, local_copy, small_table, with_each
 
 ALPHA = 0.1
 # Nonzeros updated at once in a projection task (times K doubles of working memory).
@@ -65,7 +65,7 @@ def _as(df: DataFrame, keys: list[str], prefix: str, k: int) -> DataFrame:
 
 def _half_step(
     nnz: DataFrame, rows: DataFrame, cols: DataFrame, dim: DataFrame, keys: list[str],
-    row_keys: list[str], col_keys: list[str], other: dict, beta: float, alpha: float, k: int,
+    row_keys: list[str], col_keys: list[str], other: dict, beta: float, alpha: float, k: int, broadcast_rows: int,
 ) -> DataFrame:
     """New shape, rate, G and E of one mode, given both modes' current G.
 
@@ -74,7 +74,7 @@ def _half_step(
     """
     shares, total = _shares(k)
     joined = (
-        nnz.join(small_table(_as(cols, col_keys, "c", k)), col_keys)
+        nnz.join(small_table(_as(cols, col_keys, "c", k), broadcast_rows), col_keys)
         .join(_as(rows, row_keys, "r", k), row_keys)
         .withColumn("total", total)
     )
@@ -135,6 +135,7 @@ def fit(
     tol: float | None = 1e-4, alpha: float = ALPHA, seed: int = 0,
     row_keys: tuple[str, ...] = ("sample_id", "region_id"), col_keys: tuple[str, ...] = ("lri_idx",),
     row_start: Callable[[int], Column] | None = None, col_start: Callable[[int], Column] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> Model:
     """Fit by alternating half steps; stop when the bound gains less than ``tol`` (relative).
 
@@ -156,7 +157,7 @@ def fit(
     pending = None
     for step in range(max_iter):
         args = (row_keys, col_keys)
-        rows = cut_lineage(_half_step(nnz, rows, cols, row_dim, row_keys, *args, col_sums, row_sums["beta"], alpha, k))
+        rows = cut_lineage(_half_step(nnz, rows, cols, row_dim, row_keys, *args, col_sums, row_sums["beta"], alpha, k, broadcast_rows))
         if pending is not None:
             bound = float(rows.agg(F.sum("fit")).first()[0]) + pending
             delta = None if not history else (bound - history[-1][1]) / abs(history[-1][1])
@@ -166,7 +167,7 @@ def fit(
                 break
         used_row_beta = row_sums["beta"]
         row_sums = _sums(rows, k)
-        cols = cut_lineage(_half_step(nnz, rows, cols, col_dim, col_keys, *args, row_sums, col_sums["beta"], alpha, k))
+        cols = cut_lineage(_half_step(nnz, rows, cols, col_dim, col_keys, *args, row_sums, col_sums["beta"], alpha, k, broadcast_rows))
         used_col_beta = col_sums["beta"]
         col_sums = _sums(cols, k)
         if tol is not None:
@@ -214,7 +215,8 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 
 
 def project(
-    matrix: DataFrame, model: Model, cells: DataFrame, max_iter: int = 200, tol: float = 0.0, start: float = 1.0
+    matrix: DataFrame, model: Model, cells: DataFrame, max_iter: int = 200, tol: float = 0.0, start: float = 1.0,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(sample_id, cell_id, motif, loading) of every cell, with the column factors fixed.
 
@@ -230,7 +232,7 @@ def project(
     rate = alpha * beta + col_sum
     key, col_key = ["sample_id", "region_id"], model.col_keys
     factors = model.cols.select(*col_key, F.array(*[F.col(f"g{i}") for i in range(k)]).alias("cg"))
-    local = local_copy(factors) if len(col_key) == 1 else factors
+    local = local_copy(factors, broadcast_rows) if len(col_key) == 1 else factors
     thin_counts = matrix.select(*key, *col_key, "value").repartition(*key)
     shared = None
     if local is not factors:

@@ -163,8 +163,9 @@ def square_sums(
 ) -> DataFrame:
     """Sum ``n`` per item over the square around each center position.
 
-    ``centers``: POSITION columns. ``weights``: (sample_id, x, y, *item, n), one row per
-    position and item. Result: POSITION + item + n.
+    ``centers``: POSITION columns, distinct. ``weights``: (sample_id, x, y, *item, n), one row
+    per position and item; every position with a weight is also a center, so density can be
+    judged from the centers alone. Result: POSITION + item + n.
 
     Buckets of ordinary density join directly: points are copied to the nine buckets
     around them, centers stay at home, and the join is kept partitioned by bucket, so the
@@ -173,21 +174,17 @@ def square_sums(
     contribute one pre-aggregated row each.
     """
     half = size / 2
+    crowded = centers.groupBy("sample_id", "bx", "by").count().where(F.col("count") > hot).select("sample_id", "bx", "by")
+    has_hot = not crowded.isEmpty()
+    if has_hot:
+        # Every level of the tree reads the weights.
+        weights = cut_lineage(weights)
     pos_items = weights.groupBy("sample_id", F.col("x").alias("px"), F.col("y").alias("py")).agg(
         F.collect_list(F.struct(*item, "n")).alias("items")
     )
-    hot_buckets = (
-        weights.select(
-            "sample_id", _bucket(F.col("x"), half).alias("bx"), _bucket(F.col("y"), half).alias("by"), "x", "y"
-        ).distinct()
-        .unionByName(centers.select("sample_id", "bx", "by", F.col("cx").alias("x"), F.col("cy").alias("y")))
-        .groupBy("sample_id", "bx", "by").count().where(F.col("count") > hot)
-        .select("sample_id", "bx", "by")
-    )
-    has_hot = not hot_buckets.isEmpty()
     cold_centers, cold_points = centers, pos_items
     if has_hot:
-        hot_buckets = small_table(cut_lineage(hot_buckets))
+        hot_buckets = small_table(cut_lineage(crowded))
         cold_centers = centers.join(hot_buckets, ["sample_id", "bx", "by"], "left_anti")
         cold_points = (
             pos_items.withColumn("bx", _bucket(F.col("px"), half)).withColumn("by", _bucket(F.col("py"), half))
@@ -210,7 +207,8 @@ def _quadtree_sums(
 ) -> DataFrame:
     """Contributions of every (center, bucket) pair in which either side is a hot bucket.
 
-    A frontier of (center, node) pairs descends level by level. A node lying inside the
+    A frontier of (center, node) pairs descends level by level (a node many centers look at
+    is one row on its side of the join, so AQE can split the frontier). A node lying inside the
     square adds its aggregated items; one that overlaps it partly is opened if it holds
     more than ``leaf`` positions and read point by point otherwise. Nodes are tested by
     the true bounding box of their points, with the same comparison as single points.

@@ -214,8 +214,14 @@ def test_factorization_recovers_blocks_and_projects(spark):
     got = factorize.project(counts_table(spark, y), model, cells, 60, tol=1e-12)
     again = factorize.project(counts_table(spark, y).where("region_id = 7"), model, cells.where("cell_id = 7"), 60, tol=1e-12)
     alone = {r.motif: r.loading for r in again.collect()}
+    # Factors too many to broadcast take the join path, with the same results.
+    joined = factorize.project(counts_table(spark, y), model, cells, 60, tol=1e-12, broadcast_rows=3)
+    by_join = {(r.cell_id, r.motif): r.loading for r in joined.collect()}
+    again = factorize.fit(counts_table(spark, y), rows, cols, 2, 12, tol=-1.0, seed=3, broadcast_rows=3)
+    assert [h[1] for h in again.history] == pytest.approx(bounds, rel=1e-12)
     proj = {}
     for r in got.collect():
+        assert r.loading == pytest.approx(by_join[r.cell_id, r.motif], rel=1e-12)
         proj.setdefault(r.cell_id, [0, 0])[r.motif] = r.loading
         if r.cell_id == 7:
             assert r.loading == pytest.approx(alone[r.motif], rel=1e-12)
