@@ -11,8 +11,8 @@ from catalog import base
 from catalog.base import FACTOR, K, Inputs, query, r6
 from catalog.ranking import two_sided
 from catalog.scalars import occupied
-from catalog.sources import de_rows, marker_rows
-from cellweave.operators import de, factorize, interactions, lrdb, regions, states, stats
+from catalog.sources import de_rows
+from cellweave.operators import de, factorize, interactions, regions, states, stats
 
 # ---------------------------------------------------------------- mixture model
 

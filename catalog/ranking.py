@@ -9,7 +9,6 @@ from catalog.base import Inputs, query, r6
 from catalog.scalars import motif_table
 from catalog.sources import de_rows
 from cellweave.operators import de, motifs, ranks, regions, stats
-from cellweave.sources import readers
 
 
 def two_sided(z: str) -> str:
@@ -126,14 +125,14 @@ def _(t: Inputs):
     return _spearman(t).select("motif", "cell_type", "gene", "n", r6("rho", "rho"))
 
 
-@query("stat_spearman_p", f"SELECT motif, cell_type, gene, round({two_sided('zz')}, 6) AS pval FROM spearz WHERE n >= 502")
+@query("stat_spearman_p", f"SELECT motif, cell_type, gene, round({two_sided('zz')}, 6) AS pval FROM spearz")
 def _(t: Inputs):
-    return _spearman(t).where("n >= 502").select("motif", "cell_type", "gene", r6("pval", "pval"))
+    return _spearman(t).select("motif", "cell_type", "gene", r6("pval", "pval"))
 
 
-@query("stat_prefilter", f"SELECT motif, cell_type, gene FROM spearz WHERE n >= 502 AND {two_sided('zz')} < 0.1")
+@query("stat_prefilter", f"SELECT motif, cell_type, gene FROM spearz WHERE {two_sided('zz')} < 0.1")
 def _(t: Inputs):
-    return stats.spearman_prefilter(_spearman(t).where("n >= 502"), 0.1)
+    return stats.spearman_prefilter(_spearman(t), 0.1)
 
 
 base.CTE["mwr"] = """

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import K, Inputs, _columns, query, r6
 from cellweave import schema as S
-from cellweave.functions import names
-from cellweave.operators import de, factorize, interactions, lrdb, motifs, regions, states, stats
+from cellweave.operators import factorize, interactions, lrdb, regions
 from cellweave.session import scratch_path
 from cellweave.sources import readers, writers
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators import stats
-from cellweave.session import small_table
 
 EPS = 1e-10
 REG_COVAR = 1e-6
