@@ -8,10 +8,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
+from catalog import base  # noqa: E402
 from tests.compare import compare, duck  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = base.QUERIES, base.SQL
 
 
 @pytest.fixture(scope="module")
