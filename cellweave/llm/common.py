@@ -48,6 +48,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def in_turns(column: pa.Array, work, most: int = 1 << 20) -> pa.Array:
+    """``work`` applied to slices of a text column of about ``most`` bytes, so that its arrays stay
+    small whatever the batch; one longer text is a slice of its own."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, at = utf8(column)
+    parts, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        parts.append(work(column.slice(lo, hi - lo)))
+        lo = hi
+    return pa.concat_arrays(parts) if parts else work(column)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes of the two word definitions: anything but ASCII white space; letters, digits and non-ASCII.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Words, stored
+from .common import Words, in_turns, stored
 from .components import components
 
 BITS = 64
@@ -35,7 +35,11 @@ def _bits(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprints(text: Column) -> Column:
     """Column of 64-bit fingerprints of whole texts, as signed longs; see ``_fingerprints``."""
-    return arrow_udf(_fingerprints, "long")(text)
+
+    def whole(texts: pa.Array) -> pa.Array:
+        return in_turns(texts, _fingerprints)
+
+    return arrow_udf(whole, "long")(text)
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:
