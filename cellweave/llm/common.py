@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,12 +94,22 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
 
-    @property
-    def hash(self) -> np.ndarray:
-        powers, inverse = _powers(len(self.data) + 1, _BASE)
+    @cached_property
+    def _sums(self) -> np.ndarray:
         sums = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * powers[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        np.cumsum((self.data.astype(_U) + _U(1)) * _powers(len(self.data), _BASE)[0], out=sums[1:])
+        return sums
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word (of all, if there are fewer)."""
+        return self._hash(np.minimum(self.start + size, self.end))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hash(self.end)
+
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[self.start]) * _powers(len(self.data) + 1, _BASE)[1][self.start])
 
     def grams(self, k: int, hashes: np.ndarray) -> np.ndarray:
         """Hash of each run of k words; runs that leave their row hold the greatest value."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, simhash
+from . import bpe, decontam, media, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +56,14 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality and toxicity of every document, with its source and language as the site."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_quality", "p_toxic", "keep")
+
+
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
