@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, quality, simhash
+from . import bpe, decontam, media, passages, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,6 +64,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_quality", "p_toxic", "keep")
 
 
+@query()
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of at least 50 words that a document shares with one of smaller id."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
