@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, passages, quality, simhash
+from . import bpe, decontam, html, media, passages, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the URL contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LINK = urls.LINK.replace("'", "''")
+
+
+def _url_steps() -> str:
+    """The steps of the propagation as one table each."""
+    steps, last = [], "start"
+    for i in range(urls.ITERATIONS):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (
+  SELECT w.dst AS host, {urls.DAMPING} * s.t * w.wt AS t, {urls.DAMPING} * s.d * w.wd AS d FROM {last} s JOIN ways w ON s.host = w.src
+  UNION ALL SELECT host, {1 - urls.DAMPING} * t, {1 - urls.DAMPING} * d FROM start) GROUP BY host)""")
+        last = f"s{i}"
+    return ",\n".join(steps)
+
+
+@query(f"""
+WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {_AZ}) AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rh, rp, rv) AS (VALUES {", ".join(map(str, URL_RULES))}),
+p AS MATERIALIZED (SELECT u.*, (SELECT max_by((rh || rp, rv), length(rh || rp)) FROM rules
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM u),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (best[2] = 'allow') AS a, count(*) FILTER (best[2] = 'block') AS b FROM p WHERE host <> '' GROUP BY host),
+start AS MATERIALIZED (SELECT host, CASE WHEN 2 * a > n THEN 1.0::DOUBLE / sum(CASE WHEN 2 * a > n THEN 1 ELSE 0 END) OVER () ELSE 0.0::DOUBLE END AS t,
+  CASE WHEN 2 * b > n THEN 1.0::DOUBLE / sum(CASE WHEN 2 * b > n THEN 1 ELSE 0 END) OVER () ELSE 0.0::DOUBLE END AS d FROM h),
+l AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{_LINK}', 1)), {_AZ}) AS dst FROM p)
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+ways AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS wt, 0.0::DOUBLE AS wd FROM l
+  UNION ALL SELECT dst, src, 0.0::DOUBLE, n / sum(n) OVER (PARTITION BY dst) FROM l),
+{_url_steps()}
+SELECT page_id, p.host, path, best[1] AS rule,
+  coalesce(best[2], CASE WHEN d > {urls.DISTRUST} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN s{urls.ITERATIONS - 1} s ON p.host = s.host
+""")
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS r(host, path, verdict)")
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query()
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as 8-bit samples of a WAV file that is declared as plain bytes; the
@@ -106,6 +148,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
