@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, media, passages, quality, simhash, urls
+from . import bpe, decontam, html, media, passages, quality, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,6 +106,44 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_quality", "p_toxic", "keep")
 
 
+#: Pages in a WARC file of op4, and which records its second replica has lost or damaged.
+FILE_PAGES = 2000
+_DAMAGE = {"flip": "page_id % 211 = 17", "cut": "page_id % 499 = 55", "lost": "page_id % 6007 = 1203"}
+
+
+def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All pages as files of WARC records, and a copy in which some records have a changed byte,
+    some have lost their last bytes (the file keeps its layout) and some are left out of the file."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = F.coalesce(F.col("page_id"), F.abs(F.xxhash64("url", "html")))
+    whole = warc.records(pages, F.floor(number / FILE_PAGES), F.col("page_id"))
+    kept = warc.records(pages.where(f"NOT coalesce({_DAMAGE['lost']}, false)"), F.floor(number / FILE_PAGES), F.col("page_id"))
+    size = F.octet_length("record")
+    flipped = F.concat(F.substring("record", 1, 40), F.lit(b"\x00"), F.expr("substring(record, 42)"))
+    cut = F.concat(F.expr("substring(record, 1, octet_length(record) - 8)"), F.lit(b"\x00" * 8))
+    damaged = F.when(F.expr(_DAMAGE["flip"].replace("page_id", "record_id")), flipped).when(
+        F.expr(_DAMAGE["cut"].replace("page_id", "record_id")), cut,
+    ).otherwise(F.col("record"))
+    return whole, kept.withColumn("record", F.when(size > 48, damaged).otherwise(F.col("record")))
+
+
+@query(f"""
+WITH b AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
+r AS (SELECT page_id, CAST(floor(page_id / {FILE_PAGES}) AS BIGINT) AS file, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(body)
+  || chr(13) || chr(10) || 'Content-Length: ' || octet_length(body) || chr(13) || chr(10) || chr(13) || chr(10)) || body || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS record FROM b),
+m AS (SELECT page_id, file, octet_length(record) AS n, sha256(record) AS digest, {_DAMAGE['lost']} AS lost, ({_DAMAGE['flip']}) OR ({_DAMAGE['cut']}) AS bad FROM r),
+o AS (SELECT *, sum(n) OVER w - n AS place, sum(CASE WHEN lost THEN 0 ELSE n END) OVER w - CASE WHEN lost THEN 0 ELSE n END AS other
+  FROM m WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT page_id, file, CAST(place AS BIGINT) AS "offset", CAST(n AS BIGINT) AS length, digest,
+  CASE WHEN lost THEN 'missing' WHEN bad THEN 'corrupt' WHEN place <> other THEN 'moved' ELSE 'ok' END AS status FROM o
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the pages' WARC files with its place, digest and state in a damaged replica."""
+    found = warc.audit(*_replicas(spark, sf_dir))
+    return found.select(F.col("record_id").alias("page_id"), "file", "offset", "length", "digest", "status")
+
+
 @query()
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of at least 50 words that a document shares with one of smaller id."""
