@@ -25,6 +25,8 @@ SAMPLE_CHARS = 50_000
 SAMPLE_SEED = 7
 #: A word or word beginning must be in so many sampled documents to have a weight.
 LEAST_DOCUMENTS = 5
+#: Texts whose features the driver forms at once.
+TURN_ROWS = 100
 PREFIXES = (4, 6, 8)
 #: Words kept for each target, by the square of their deviation from independence.
 CHOSEN, LEAST_DEVIATION = 300, 25.0
@@ -33,6 +35,8 @@ SHARES = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.
 BINS = len(SHARES) + 1
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 TARGETS = ("quality", "toxic")
+#: A document is kept from this quality on and below this toxicity.
+LEAST_QUALITY, MOST_TOXIC = 0.5, 0.25
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -124,14 +128,19 @@ def fit(text: pa.Array, labels: np.ndarray) -> Model:
     base = np.log(rates / (1 - rates))
     if not n:
         return Model(np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((10, 0)), np.zeros((10, 1, k)), base, rates)
-    words, families = word_features(text)
-    row = np.tile(words.row, len(families))
-    ids = np.concatenate(families)
-    order = np.lexsort((row, ids))
-    ids, row = ids[order], row[order]
-    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]))) if len(ids) else np.zeros(0, int)
-    count = np.diff(np.append(first, len(ids)))
-    ids, row = ids[first], row[first]
+    ids, row, count, values = [], [], [], []
+    for lo in range(0, n, TURN_ROWS):
+        part = text.slice(lo, TURN_ROWS)
+        words, families = word_features(part)
+        for family in families:
+            order = np.lexsort((words.row, family))
+            i, r = family[order], words.row[order]
+            first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]))) if len(i) else np.zeros(0, int)
+            ids.append(i[first])
+            row.append((r[first] + lo).astype(np.int32))
+            count.append(np.diff(np.append(first, len(i))).astype(np.int32))
+        values.append(dense_features(part))
+    ids, row, count, values = (np.concatenate(x) for x in (ids, row, count, values))
     known, column, documents = np.unique(ids, return_inverse=True, return_counts=True)
     kept = np.zeros(len(known), bool)
     for t in range(k):
@@ -145,7 +154,6 @@ def fit(text: pa.Array, labels: np.ndarray) -> Model:
     column, row, count = place[column[use]], row[use], count[use]
     known = known[kept]
     x = np.log1p(count)
-    values = dense_features(text)
     cuts = np.stack([
         np.array(SHARES) if v.max() <= 1 else np.quantile(v, np.linspace(0, 1, BINS + 1)[1:-1]) for v in values.T
     ])
@@ -244,7 +252,7 @@ def classify(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang",
     rows: int = SAMPLE_ROWS, model: Model | None = None,
 ) -> DataFrame:
-    """``docs`` with p_quality, p_toxic and keep (quality at least as likely as not, toxicity less).
+    """``docs`` with p_quality, p_toxic and keep (quality at least LEAST_QUALITY, toxicity below MOST_TOXIC).
 
     Null and empty texts are judged by their layout like any other; null hosts and paths are sites
     of their own; repeated rows get equal values; an empty table stays empty; without labels every
@@ -265,6 +273,6 @@ def classify(
         rate = F.least(F.greatest(F.coalesce(F.col(f"__{t}"), F.lit(base)), F.lit(1e-6)), F.lit(1 - 1e-6))
         odds = F.col(f"__z.{t}") + F.log(rate / (1 - rate)) - float(np.log(base / (1 - base)))
         out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-odds)))
-    return out.withColumn("keep", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).select(
+    return out.withColumn("keep", (F.col("p_quality") >= LEAST_QUALITY) & (F.col("p_toxic") < MOST_TOXIC)).select(
         *[F.col(c) for c in bare.columns], *added,
     )

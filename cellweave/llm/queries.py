@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, media, passages, quality, simhash, urls, warc
+from . import bpe, decontam, html, lm, media, passages, quality, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,6 +193,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    found = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
