@@ -17,7 +17,9 @@ from .common import discard, document_key, stored
 WINDOW = 13
 #: A side is broadcast only if its measured bytes stay below this.
 BROADCAST_BYTES = 32 << 20
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Between words: all of ASCII but digits and letters. Cutting there is many times faster than
+#: matching the words themselves.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,7 +29,7 @@ def ascii_lower(text: Column) -> Column:
 
 def spelled_words(text: Column) -> Column:
     """The words as written: digits, ASCII letters and everything beyond ASCII; null has none."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def words(text: Column) -> Column:
