@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Stored, so that the join stands between two plain shuffles and a hot node can be split.
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return (
         both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     )
@@ -43,6 +44,6 @@ def _large_star(pairs: DataFrame) -> DataFrame:
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
