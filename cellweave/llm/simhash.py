@@ -15,6 +15,8 @@ from .components import components
 BITS = 64
 SHINGLE = 4
 MAX_DISTANCE = 4
+#: Buckets of up to so many values are compared by array expressions, larger ones in Python.
+FEW = 16
 #: Members of a variant's bucket that are compared in one task; larger buckets are cut into blocks.
 BLOCK = 2048
 SEED = 42
@@ -99,30 +101,24 @@ def _linker(max_distance: int):
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def linked(members: pa.Array) -> pa.Array:
-        """Links inside each bucket, found lag by lag over all buckets of the batch at once."""
-        at = members.offsets.to_numpy()
-        at, flat = at - at[0], members.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        size = np.diff(at)
-        left, right, of = [], [], []
-        small = size <= 16
-        bucket = np.repeat(np.arange(len(size)), size)
-        for lag in range(1, int(size[small].max(initial=1))):
-            here = np.flatnonzero((bucket[:-lag] == bucket[lag:]) & small[bucket[lag:]])
-            here = here[np.bitwise_count(flat[here] ^ flat[here + lag]) <= max_distance]
-            left, right, of = left + [flat[here]], right + [flat[here + lag]], of + [bucket[here]]
-        for i in np.flatnonzero(~small):
-            edges = np.array(_forest(np.unique(flat[at[i]:at[i + 1]]), max_distance), np.uint64).reshape(-1, 2)
-            left, right, of = left + [edges[:, 0]], right + [edges[:, 1]], of + [np.full(len(edges), i)]
-        a, b, of = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((left, np.uint64), (right, np.uint64), (of, np.int64)))
-        order = np.argsort(of, kind="stable")
-        a, b = a[order].view(np.int64), b[order].view(np.int64)
-        ends = np.searchsorted(of[order], np.arange(len(size) + 1)).astype(np.int32)
-        pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        return pa.ListArray.from_arrays(pa.array(ends), pairs).cast(kind)
+        out = []
+        for row in members:
+            values = np.unique(row.values.to_numpy(zero_copy_only=False).view(np.int64)).view(np.uint64)
+            edges = np.array(_forest(values, max_distance), np.uint64).reshape(-1, 2).view(np.int64)
+            out.append([{"a": a, "b": b} for a, b in edges.tolist()])
+        return pa.array(out, kind)
 
     return arrow_udf(linked, "array<struct<a:long,b:long>>")
 
 
+def _few(members: str, max_distance: int) -> Column:
+    """All links among the values of a small array."""
+    return F.flatten(F.transform(members, lambda x, i: F.transform(
+        F.filter(F.slice(members, i + 2, F.lit(FEW)), lambda y: F.bit_count(x.bitwiseXOR(y)) <= max_distance),
+        lambda y: F.struct(x.alias("a"), y.alias("b")),
+    )))
+
+
 def links(values: DataFrame, column: str = "fp", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct 64-bit values whose components are those of all pairs that
     differ in at most ``max_distance`` bits. Nulls are left out.
@@ -170,8 +166,14 @@ def links(values: DataFrame, column: str = "fp", max_distance: int = MAX_DISTANC
     buckets = (
         placed.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         .agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+        .withColumn("near", F.when(F.size("members") <= FEW, _few("members", max_distance)))
+        .where("near is null or size(near) > 0")
+        .select("near", F.when(F.col("near").isNull(), F.col("members")).alias("members"))
     )
-    return buckets.select(F.inline(_linker(max_distance)("members"))).distinct()
+    # Most buckets hold a few values that met by chance; what is left of them is written.
+    left = stored(buckets, "buckets")
+    small = left.where("near is not null").select(F.inline("near"))
+    return small.union(left.where("members is not null").select(F.inline(_linker(max_distance)("members")))).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
