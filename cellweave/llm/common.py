@@ -130,7 +130,7 @@ _kept: dict = {}
 
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_kept.get(base, ((),))[0]) < n:
+    if base not in _kept or len(_kept[base][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         back = _U(pow(int(base), -1, 2**64))
         _kept[base] = tuple(

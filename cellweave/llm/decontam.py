@@ -124,7 +124,7 @@ def exact_matches(
         places.where("t2 is null").select("k", "h", "start", "phrase", "length").union(
             places.where("t2 is not null").withColumn("p2", F.col("start") + F.col("o2"))
             .join(shifted, ["k", "h", "p2", "t2"], "left_semi").select("k", "h", "start", "phrase", "length")
-        ), "places",
+        ).distinct(), "places",
     )
     # All other lists, of the documents that still have a place.
     where = if_small(two.select("k", "h").distinct())

@@ -150,7 +150,7 @@ class Page:
             share = linked[i] / words[i] if words[i] else 0.0
             own = sum(self.words[i] >= x for x in WORDS_AT)
             out.append((
-                f"tag:{tag}", f"own:{own}", f"all:{sum(words[i] >= x for x in WORDS_AT)}", f"links:{sum(share >= x for x in LINKS_AT)}",
+                f"tag:{tag}", f"own:{own}", f"links:{sum(share >= x for x in LINKS_AT)}",
                 f"marks:{min(self.marks[i], 3)}", *(f"name:{s}" for s in stems(self.naming[i])),
             ))
         return out
@@ -249,7 +249,10 @@ ARTICLES = [
     '<section class="post entry-content">{}</section>', '<div class="story main-text">{}</div>', '<article class="blog post">{}</article>', "<div>{}</div>",
 ]
 INSIDE = [
-    "<h1>A headline for the day</h1>", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<h2>Part two of it</h2><p>{}</p>", "<p>Short line.</p>", "<p>One.</p>",
+    "<h1>A headline for the day</h1>", "<p>He came home late, and nobody asked why.</p><p>It was cold, and it rained again that night.</p>", "<p>{}</p>",
+    "<p>They said yes, and that was that, in the end.</p><p>Nobody knew who had paid for it all, or when.</p><p>So it stayed as it was.</p>",
+    "<p>On the way home they passed the old bridge and the house by the water where the smith had lived for most of his life</p><p>{}</p>",
+    "<p>Four men and two boys took the boat out that evening to look for the missing nets near the rocks, but they found nothing.</p>", "<p>{}</p><p>{}</p>", "<h2>Part two of it</h2><p>{}</p>", "<p>Short line.</p>", "<p>One.</p>",
     "<ul><li>First of the points, told in some words.</li><li>Second of them.</li></ul>", "<blockquote><p>{}</p></blockquote>",
     "<p>{} <a href='/w'>with a link</a> and more behind it.</p>", "<pre>code = words(text)</pre>", "<div><p>{}</p></div>",
     "<table><tr><td>Name</td><td>Some value</td></tr></table>", "<figure><figcaption>A view of the town.</figcaption></figure>", "<section><h3>More</h3><p>{}</p></section>",
