@@ -130,12 +130,15 @@ def _(t: Inputs):
     return w2.select("sample_id", "region_id", "motif", r6("loading", "loading"))
 
 
-@query("agg_rescale_check", "SELECT true AS product_unchanged")
+@query("agg_rescale_check", """
+, a AS (SELECT count(*) AS n, max(abs(loading / w_max * w_max - loading) / loading) AS e FROM wload JOIN wmax USING (motif)),
+b AS (SELECT count(*) AS n, max(abs(factor * w_max - w_max * factor) / (factor * w_max)) AS e FROM factors JOIN wmax USING (motif))
+SELECT a.n AS n_loadings, b.n AS n_factors, round(a.e + b.e, 9) AS rel_err FROM a, b""")
 def _(t: Inputs):
     w, v = t.patch_loadings(), t.factors()
-    w2, v2, _ = factorize.rescale(w, v)
-    err = factorize.reconstruction_error(w, v, w2, v2, ["sample_id", "region_id"])
-    return err.select((F.col("rel_err") < 1e-10).alias("product_unchanged"))
+    w2, v2, scales = factorize.rescale(w, v)
+    err = factorize.reconstruction_error(w, v, w2, v2, scales, ["sample_id", "region_id"])
+    return err.select("n_loadings", "n_factors", r6("rel_err", "rel_err"))
 
 
 @query("agg_top_motifs", """

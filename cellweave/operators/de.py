@@ -16,7 +16,8 @@ from cellweave.session import require, small_table
 
 # The covariate's distribution in a group is stored as moments in bins of this width. With
 # ORDER moments per bin, sums of exp(b x) are exact to rounding for |b| well beyond any
-# estimate (remainder below (|b| BIN_WIDTH/2)^ORDER / ORDER!).
+# estimate (remainder below (|b| BIN_WIDTH/2)^ORDER / ORDER!). Slopes beyond MAX_SLOPE are not
+# estimated: such genes have converged = false and no estimate.
 BIN_WIDTH = 1.0 / 32
 ORDER = 14
 MAX_SLOPE = 60.0
@@ -72,8 +73,16 @@ def _exp_sums(b: np.ndarray, centers: np.ndarray, moments: np.ndarray) -> tuple[
 
 
 def _solve_slopes(ratio: np.ndarray, centers: np.ndarray, moments: np.ndarray, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
-    """Root of mean_b(x) = ratio per gene: Newton steps kept inside a bisection bracket."""
+    """Root of mean_b(x) = ratio per gene: Newton steps kept inside a bisection bracket.
+
+    A root outside the bracket, where the moments are no longer exact, counts as not found.
+    """
     lo, hi = np.full_like(ratio, -MAX_SLOPE), np.full_like(ratio, MAX_SLOPE)
+    ends = []
+    for b in (lo, hi):
+        _, s0, s1, _ = _exp_sums(b[:1], centers, moments)
+        ends.append(float(s1[0] / s0[0]))
+    inside = (ratio >= ends[0]) & (ratio <= ends[1])
     b = np.zeros_like(ratio)
     done = np.zeros(ratio.shape, dtype=bool)
     for _ in range(max_iter):
@@ -89,7 +98,7 @@ def _solve_slopes(ratio: np.ndarray, centers: np.ndarray, moments: np.ndarray, m
         done |= moved <= 1e-13 * np.maximum(1.0, np.abs(b))
         if done.all():
             break
-    return b, done
+    return b, done & inside
 
 
 def _fit_tile(genes: pd.DataFrame, bins: pd.DataFrame, max_iter: int) -> pd.DataFrame:
@@ -220,10 +229,14 @@ def volcano(de: DataFrame, fdr: float = 0.05, lfc: float = 0.2, n_top: int = 30)
     )
 
 
-def forest(de: DataFrame, n_top: int = 20) -> DataFrame:
-    """Strongest genes per (motif, cell type) with 95% Wald intervals, by effect."""
+def forest(de: DataFrame, n_top: int = 20, max_lfc: float | None = 10.0) -> DataFrame:
+    """Strongest genes per (motif, cell type) with 95% Wald intervals, by effect.
+
+    Effects beyond ``max_lfc`` have no place on the figure's axis; None keeps them.
+    """
     group = Window.partitionBy("motif", "cell_type")
-    scored = complete_results(de).where(F.abs("logfc") <= 10).withColumn(
+    shown = complete_results(de) if max_lfc is None else complete_results(de).where(F.abs("logfc") <= max_lfc)
+    scored = shown.withColumn(
         "score", F.abs("logfc") * names.neg_log10_q(F.col("qval"))
     )
     top = scored.withColumn("_r", F.row_number().over(group.orderBy(F.desc("score"), "gene"))).where(F.col("_r") <= n_top)
@@ -236,16 +249,20 @@ def forest(de: DataFrame, n_top: int = 20) -> DataFrame:
 
 def report(de: DataFrame, cells: DataFrame, expression: DataFrame, markers: DataFrame | None = None,
            min_fraction: float = 0.02, marker_lfc: float = 1.0, marker_p: float = 1e-5,
-           subsample: int | None = 50_000, fdr: float = 0.05, lfc: float = 0.2, n_volcano: int = 30, n_forest: int = 30) -> dict[str, DataFrame]:
-    """Filtered results and their volcano and forest tables."""
+           subsample: int | None = None, fdr: float = 0.05, lfc: float = 0.2, n_volcano: int = 30, n_forest: int = 30,
+           genes: DataFrame | None = None, max_lfc: float | None = 10.0) -> dict[str, DataFrame]:
+    """Filtered results and their volcano and forest tables.
+
+    Markers are searched over all cells; ``subsample`` draws at most so many for either side.
+    """
     if markers is None:
         markers = stats.marker_genes(
-            stats.differential_expression(cells, expression, subsample=subsample), marker_lfc, marker_p
+            stats.differential_expression(cells, expression, subsample=subsample, genes=genes), marker_lfc, marker_p
         )
     kept = drop_foreign_markers(
         filter_expressed(complete_results(de), stats.expression_fraction(cells, expression), min_fraction), markers
     )
-    return {"filtered": kept, "volcano": volcano(kept, fdr, lfc, n_volcano), "forest": forest(kept, n_forest), "markers": markers}
+    return {"filtered": kept, "volcano": volcano(kept, fdr, lfc, n_volcano), "forest": forest(kept, n_forest, max_lfc), "markers": markers}
 
 
 def require_same_cells(loadings: DataFrame, cells: DataFrame) -> None:

@@ -116,6 +116,8 @@ class Model:
         self.row_keys, self.col_keys = row_keys, col_keys
         self.k, self.alpha, self.row_beta, self.col_beta = k, alpha, row_beta, col_beta
         self.history = history
+        # Whether the stopping rule was met; None if none was set or the model was read back.
+        self.converged: bool | None = None
 
     def _long(self, factor: DataFrame, keys: list[str], value: str) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(i).alias("motif"), F.col(f"g{i}").alias(value)) for i in range(self.k)])
@@ -175,7 +177,10 @@ def fit(
             pending = (
                 -overlap - constant + _prior_terms(rows, used_row_beta, alpha, k) + _prior_terms(cols, used_col_beta, alpha, k)
             )
-    return Model(rows.drop("fit"), cols.drop("fit"), row_keys, col_keys, k, alpha, row_sums["beta"], col_sums["beta"], history)
+    model = Model(rows.drop("fit"), cols.drop("fit"), row_keys, col_keys, k, alpha, row_sums["beta"], col_sums["beta"], history)
+    if tol is not None:
+        model.converged = bool(history) and history[-1][2] is not None and history[-1][2] < tol
+    return model
 
 
 def history_table(model: Model, spark) -> DataFrame:
@@ -295,19 +300,25 @@ def rescale(w: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     )
 
 
-def reconstruction_error(w: DataFrame, v: DataFrame, w2: DataFrame, v2: DataFrame, row_keys: list[str], n: int = 200, seed: int = 0) -> DataFrame:
-    """Relative difference of both products on a seeded sample of rows and columns."""
-    order = lambda keys: F.xxhash64(*[F.col(c) for c in keys], F.lit(seed))
-    rows = small_table(w.select(*row_keys).distinct().orderBy(order(row_keys), *row_keys).limit(n))
-    cols = small_table(v.select("lri_idx").distinct().orderBy(order(["lri_idx"]), "lri_idx").limit(n))
+def reconstruction_error(w: DataFrame, v: DataFrame, w2: DataFrame, v2: DataFrame, scales: DataFrame, row_keys: list[str]) -> DataFrame:
+    """(n_loadings, n_factors, rel_err): how far rescaling moved the product, over all entries.
 
-    def product(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        left, right = a.join(rows, row_keys, "left_semi"), b.join(cols, "lri_idx", "left_semi")
-        return left.join(right, "motif").groupBy(*row_keys, "lri_idx").agg(F.sum(F.col("loading") * F.col("factor")).alias(name))
+    Every loading is compared with its rescaled one times the motif's scale, and every rescaled
+    factor with the factor times the scale. All are positive, so the two greatest relative
+    differences together bound that of every entry of the product, which is never formed.
+    """
+    b = small_table(scales)
+
+    def compared(x: DataFrame, y: DataFrame, keys: list[str], value: str, back: Column) -> DataFrame:
+        both = x.select(*keys, "motif", F.col(value).alias("a")).join(y.select(*keys, "motif", F.col(value).alias("b")), [*keys, "motif"])
+        gap = F.abs(back - F.col("a") * F.when(F.lit(value == "factor"), F.col("w_max")).otherwise(1.0))
+        size = F.greatest(F.abs("a") * F.when(F.lit(value == "factor"), F.col("w_max")).otherwise(1.0), F.lit(1e-300))
+        return both.join(b, "motif").agg(F.count("*").alias("n"), F.coalesce(F.max(gap / size), F.lit(0.0)).alias("err"))
 
-    both = product(w, v, "a").join(product(w2, v2, "b"), [*row_keys, "lri_idx"])
-    d = F.col("a") - F.col("b")
-    return both.agg((F.sqrt(F.sum(d * d)) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) + 1e-10)).alias("rel_err"))
+    rows = compared(w, w2, row_keys, "loading", F.col("b") * F.col("w_max")).first()
+    cols = compared(v, v2, ["lri_idx"], "factor", F.col("b")).first()
+    spark = w.sparkSession
+    return spark.createDataFrame([(rows["n"], cols["n"], rows["err"] + cols["err"])], "n_loadings long, n_factors long, rel_err double")
 
 
 def top_motifs(w: DataFrame, top_k: int = 10) -> DataFrame:
@@ -325,14 +336,45 @@ def thin_probabilities(matrix: DataFrame, n_regions: DataFrame, quantile: float)
     return with_each(means, cut).select("lri_idx", "mean", F.least(F.lit(1.0), F.col("cut") / F.col("mean")).alias("p"))
 
 
+# Trials whose number of successes is drawn from one uniform number.
+TRIALS = 256
+
+
+def _binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Binomial(n, p) draws, each a function of its own key, in array steps over all entries.
+
+    n is cut into runs of TRIALS; the successes of a run come from inverting the distribution at a
+    uniform number made from the key and the number of the run.
+    """
+    out = np.where(p >= 1, n, 0).astype(np.int64)
+    rest = np.where((p >= 1) | (p <= 0), 0, n)
+    # Fewer successes than failures are drawn, so that no start of the recurrence underflows.
+    q = np.where(p > 0.5, 1 - p, p)
+    run = 0
+    while (live := np.flatnonzero(rest > 0)).size:
+        m, r, k = np.minimum(rest[live], TRIALS), q[live], key[live] + np.uint64((run + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            k = (k ^ (k >> np.uint64(shift))) * np.uint64(factor)
+        u = ((k ^ (k >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+        mass = np.exp(m * np.log1p(-r))
+        below, found = mass.copy(), np.zeros(len(m), np.int64)
+        for i in range(int(m.max())):
+            go = (u >= below) & (found == i) & (i < m)
+            if not go.any():
+                break
+            found[go] = i + 1
+            mass = mass * np.maximum(m - i, 0) / (i + 1) * (r / (1 - r))
+            below += mass
+        out[live] += np.where(p[live] > 0.5, m - found, found)
+        rest[live] -= m
+        run += 1
+    return out
+
+
 def thin(matrix: DataFrame, probabilities: DataFrame, row_keys: list[str], seed: int = 0) -> DataFrame:
     """Keep Binomial(value, p) of every count; draws depend only on the seed and the key."""
     def draw(value: pd.Series, p: pd.Series, h: pd.Series) -> pd.Series:
-        # A fresh generator per entry makes the draw independent of batching and order.
-        return pd.Series([
-            int(v) if q >= 1 else int(np.random.default_rng(int(s)).binomial(int(v), float(q)))
-            for v, q, s in zip(value, p, h)
-        ])
+        return pd.Series(_binomial(value.to_numpy(np.int64), p.to_numpy(float), h.to_numpy(np.int64).astype(np.uint64)))
 
     key = F.pmod(F.xxhash64(*row_keys, "lri_idx", F.lit(seed)), F.lit(2**62))
     kept = matrix.join(small_table(probabilities.select("lri_idx", "p")), "lri_idx")

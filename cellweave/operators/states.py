@@ -61,7 +61,8 @@ def fit_mixture(loadings: DataFrame, max_iter: int = 100, tol: float | None = 1e
     Start: split at the middle between least and largest score, so component 1 is the
     high one. Every step is one aggregation over all motifs; only a few numbers per motif
     reach the driver. A motif stops once its mean log likelihood gains less than ``tol``.
-    Returns (parameters, degenerate motifs).
+    Returns (parameters, degenerate motifs); ``converged`` tells whether a motif stopped by itself
+    within ``max_iter`` steps (null without ``tol``).
     """
     spark = loadings.sparkSession
     scores = _log_scores(loadings).select("motif", "s").persist()
@@ -73,6 +74,7 @@ def fit_mixture(loadings: DataFrame, max_iter: int = 100, tol: float | None = 1e
         flat = {r["motif"]: r for r in spread if r["n"] < 2 or r["sd"] < 1e-6}
         live = [r for r in spread if r["motif"] not in flat]
         found: dict[int, tuple] = {}
+        moving: set[int] = set()
         if live:
             cut = spark.createDataFrame([(r["motif"], (r["lo"] + r["hi"]) / 2, r["shift"]) for r in live], "motif int, cut double, shift double")
             split = scores.join(F.broadcast(cut), "motif").withColumn("r", (F.col("s") > F.col("cut")).cast("double")).withColumn("ll", F.lit(0.0))
@@ -90,7 +92,8 @@ def fit_mixture(loadings: DataFrame, max_iter: int = 100, tol: float | None = 1e
                     break
     finally:
         scores.unpersist()
-    params = spark.createDataFrame(list(found.values()), PARAMS)
+    stopped = {k: None if tol is None else k not in moving for k in found}
+    params = spark.createDataFrame([(*v, stopped[k]) for k, v in found.items()], PARAMS + ", converged boolean")
     degenerate = spark.createDataFrame([(k, r["shift"]) for k, r in flat.items()], "motif int, shift double")
     return params, degenerate
 
@@ -141,8 +144,8 @@ def celltype_weights(
 
 
 def celltype_order(weights: DataFrame) -> list[str]:
-    """Cell types by total weight, largest first (a small dimension)."""
-    rows = weights.groupBy("cell_type").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "cell_type").limit(10_000).collect()
+    """All cell types by total weight, largest first: they become the columns of one table."""
+    rows = weights.groupBy("cell_type").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "cell_type").collect()
     return [r["cell_type"] for r in rows]
 
 

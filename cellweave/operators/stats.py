@@ -6,6 +6,8 @@ one block of zeros that is handled in closed form. Nothing here is the size of c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -115,24 +117,32 @@ def _zero_aware_ranks(hist: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _exact_mwu(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Exact two-sided p-value of U without ties, by counting arrangements."""
-    out = []
-    for stat, a, b in zip(u, n1, n2):
-        if stat is None or np.isnan(stat):
-            out.append(None)
-            continue
-        a, b = int(min(a, b)), int(max(a, b))
-        # counts[j, s]: ways to pick j of the first items with rank sum offset s.
-        ways = np.zeros((a + 1, a * b + 1))
-        ways[0, 0] = 1.0
-        for item in range(a + b):
-            for j in range(min(a, item + 1), 0, -1):
-                shift = item - (j - 1)
-                if shift <= a * b:
-                    ways[j, shift:] += ways[j - 1, : a * b + 1 - shift]
-        probs = ways[a] / ways[a].sum()
-        out.append(min(1.0, 2 * probs[int(np.ceil(stat)):].sum()))
-    return pd.Series(out, dtype="float64")
+    """Exact two-sided p-value of U without ties, by counting arrangements.
+
+    The upper tail from U equals the lower one up to n1 n2 - U. One table for each pair of sizes
+    serves all rows, and it reaches only as far as the longest of those tails.
+    """
+    out = np.full(len(u), np.nan)
+    known = np.flatnonzero(u.notna() & n1.notna() & n2.notna())
+    if not len(known):
+        return pd.Series(out)
+    sizes = np.sort(np.stack([n1.to_numpy(float)[known], n2.to_numpy(float)[known]], axis=1).astype(np.int64), axis=1)
+    tail = sizes[:, 0] * sizes[:, 1] - np.ceil(u.to_numpy(float)[known]).astype(np.int64)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes == (a, b)).all(1))
+        most = int(tail[rows].max())
+        # Partitions into at most a parts of at most b each: the product over k of
+        # (1 - x^(b + k)) / (1 - x^k), factor by factor.
+        ways = np.zeros(most + 1)
+        ways[:1] = 1.0
+        for k in range(1, a + 1):
+            if b + k <= most:
+                ways[b + k:] = ways[b + k:] - ways[:most + 1 - b - k]
+            for start in range(min(k, most + 1)):
+                ways[start::k] = np.cumsum(ways[start::k])
+        share = np.cumsum(ways) / math.comb(a + b, a)
+        out[known[rows]] = np.minimum(1.0, 2 * np.where(tail[rows] >= 0, share[np.maximum(tail[rows], 0)], 0.0))
+    return pd.Series(out)
 
 
 def mann_whitney(rank_sums: DataFrame, r1: str, n1: str, n2: str, ties: str, tied: str) -> DataFrame:
@@ -166,10 +176,14 @@ def value_histogram(cells: DataFrame, expression: DataFrame) -> DataFrame:
 
 def differential_expression(
     cells: DataFrame, expression: DataFrame, min_fraction: float = 1e-4,
-    target_filter: str = "global", subsample: int | None = None, seed: int = 0,
+    target_filter: str = "global", subsample: int | None = None, seed: int = 0, genes: DataFrame | None = None,
 ) -> DataFrame:
     """Each cell type against the rest: log2 fold change, Mann-Whitney p, adjusted p.
 
+    ``genes`` is the panel (a ``gene`` column): the share of expressed genes that the "global"
+    target filter looks at is of all panel genes, and genes that no cell has a count for are
+    returned with p = 1 and no change. Without it the genes with a count are taken as the panel.
+
     Without subsampling one histogram per (type, gene, count) serves all comparisons, and
     gene ranks are computed once. With it, every type draws at most ``subsample`` cells
     for either side and gets its own histogram.
@@ -207,12 +221,14 @@ def differential_expression(
     full = pairs.join(mine, ["cell_type", "gene"], "left").na.fill(0, ["nz_in", "total_in", "rank_sum"])
     r0 = (F.col("n0") + 1) / 2
     n2 = F.col("n") - F.col("n1")
+    panel = None if genes is None else genes.select("gene").where(F.col("gene").isNotNull()).distinct()
+    panel_size = F.count("*").over(Window.partitionBy("cell_type")) if panel is None else F.lit(max(panel.count(), 1))
     full = (
         full.withColumn("n2", n2)
         .withColumn("r1", F.col("rank_sum") + r0 * (F.col("n1") - F.col("nz_in")))
         .withColumn("frac_in", F.col("nz_in") / F.col("n1"))
         .withColumn("frac_out", (F.col("nz") - F.col("nz_in")) / F.col("n2"))
-        .withColumn("_mean_frac", F.sum("nz_in").over(Window.partitionBy("cell_type")) / (F.col("n1") * F.count("*").over(Window.partitionBy("cell_type"))))
+        .withColumn("_mean_frac", F.sum("nz_in").over(Window.partitionBy("cell_type")) / (F.col("n1") * panel_size))
     )
     target_ok = (F.col("_mean_frac") if target_filter == "global" else F.col("frac_in")) >= min_fraction
     mean = lambda total, n: F.log2(F.greatest(total / n, F.lit(1e-300)))
@@ -225,9 +241,20 @@ def differential_expression(
         "cell_type", "gene", F.lit(None).cast("double").alias("u1"), F.lit(0.0).alias("log2fc"),
         F.lit(1.0).alias("pval"), F.lit(1.0).alias("padj"), "tested",
     )
+    if panel is not None:
+        unseen = with_each(panel.join(values_of(expression), "gene", "left_anti"), sizes.select("cell_type"))
+        rest = rest.unionByName(unseen.select(
+            "cell_type", "gene", F.lit(None).cast("double").alias("u1"), F.lit(0.0).alias("log2fc"),
+            F.lit(1.0).alias("pval"), F.lit(1.0).alias("padj"), F.lit(False).alias("tested"),
+        ))
     return scored.select("cell_type", "gene", "u1", "log2fc", "pval", "padj", "tested").unionByName(rest)
 
 
+def values_of(expression: DataFrame) -> DataFrame:
+    """Genes with any count."""
+    return expression.where(F.col("count") > 0).select("gene").distinct()
+
+
 def drawn_cells(typed: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(sample_id, cell_id, target, is_in): for every type, up to ``n`` cells of it and up
     to ``n`` others."""

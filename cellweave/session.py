@@ -69,12 +69,14 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def with_each(df: DataFrame, dim: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Repeat every row for each row of a proven-small dimension (types, motifs)."""
-    rows = dim.limit(max_rows + 1).collect()
-    require(len(rows) <= max_rows, f"dimension {dim.columns} holds more than {max_rows} rows")
-    fields = dim.schema.fields
-    items = F.array(*[
-        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows
-    ]) if rows else F.array().cast(f"array<{dim.schema.simpleString()}>")
-    return df.select("*", F.inline(items))
+def with_each(df: DataFrame, dim: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Repeat every row for each row of a dimension (types, motifs, totals).
+
+    The dimension is gathered into one array, a single row that every task holds, so it must fit
+    in memory; ``max_rows`` refuses a larger one.
+    """
+    if max_rows is not None:
+        require(dim.limit(max_rows + 1).count() <= max_rows, f"dimension {dim.columns} holds more than {max_rows} rows")
+    items = dim.agg(F.collect_list(F.struct(*dim.columns)).alias("_items")).withColumn("_one", F.lit(1))
+    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(items), "_one")
+    return joined.select(*[F.col(c) for c in df.columns], F.inline("_items"))
