@@ -165,6 +165,15 @@ def _(t: Inputs):
     return d.select("cell_type", "gene", r6("log2fc", "log2fc"), r6("pval", "pval"), r6("padj", "padj"))
 
 
+@query("stat_de_panel", """
+SELECT cell_type, gene, round(log2fc, 6) AS log2fc, round(pval, 6) AS pval, round(padj, 6) AS padj, true AS tested FROM mwq
+UNION ALL SELECT cell_type, gene, 0, 1, 1, false FROM (SELECT DISTINCT cell_type FROM cells WHERE cell_type IS NOT NULL), (VALUES ('unseen1'), ('unseen2')) u(gene)""")
+def _(t: Inputs):
+    more = t.panel().limit(1).select(F.explode(F.array(F.lit("unseen1"), F.lit("unseen2"))).alias("gene"))
+    d = stats.differential_expression(t.cells(), t.expression(), genes=t.panel().union(more))
+    return d.select("cell_type", "gene", r6("log2fc", "log2fc"), r6("pval", "pval"), r6("padj", "padj"), "tested")
+
+
 @query("stat_markers", "SELECT cell_type, gene FROM mwq WHERE padj <= 0.9 AND log2fc >= 0.01")
 def _(t: Inputs):
     d = stats.differential_expression(t.cells(), t.expression())

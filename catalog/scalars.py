@@ -9,6 +9,7 @@ from catalog.base import RAW_GENES, RAW_NAMES, Inputs, _columns, query, r6
 from catalog.sources import de_rows
 from cellweave.functions import names
 from cellweave.operators import de, interactions, lrdb, motifs, regions, stats
+from cellweave.sources import readers
 
 
 def raw_names(t: Inputs):
@@ -188,7 +189,8 @@ SELECT n.sample_id, n.region_id, lri.lri_idx, n.value FROM nmatrix n JOIN lri US
 def _(t: Inputs):
     pairs = t.pairs()
     near = interactions.cell_lri(t.cells(), t.expression(), pairs)
-    return interactions.align_columns(near, interactions.lri_columns(near, pairs), t.lri())
+    types = readers.typed_cells(t.cells()).select("cell_type").distinct()
+    return interactions.align_columns(near, lrdb.lri_space(pairs, types), t.lri())
 
 
 @query("chk_align", """

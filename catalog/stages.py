@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import base
@@ -60,10 +63,16 @@ def _(t: Inputs):
 @query("job_report", """
 SELECT 'top_interactions' AS name, count(*) AS n_rows FROM (SELECT 1 FROM bestlri QUALIFY row_number() OVER (PARTITION BY motif ORDER BY factor DESC, lri_idx) <= 20)
 UNION ALL SELECT 'celltype_weights', count(*) FROM (SELECT DISTINCT motif, cell_type FROM loadings JOIN cells USING (sample_id, cell_id) WHERE cell_type IS NOT NULL)
-UNION ALL SELECT 'states', count(*) FROM loadings""")
+UNION ALL SELECT 'states', count(*) FROM loadings
+UNION ALL SELECT 'activities', count(DISTINCT motif) FROM wload
+UNION ALL SELECT 'factor_scatter', count(*) FROM lm
+UNION ALL SELECT 'diagnostics', count(DISTINCT motif) FROM wload
+UNION ALL SELECT 'spatial_state_1', count(DISTINCT sample_id) + 1 FROM loadings""")
 def _(t: Inputs):
     out = jobs.report(
-        t.cells(), t.expression(), t.genes(), t.loadings(), motif_table(t), de_rows(t), scratch_path(t.spark, "report"), marker_subsample=None
+        t.cells(), t.expression(), t.genes(), t.loadings(), motif_table(t), de_rows(t), scratch_path(t.spark, "report"),
+        patch_loadings=t.patch_loadings(), factors=t.factors(),
     )
-    rows = [t.spark.read.parquet(out[n]).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in ("top_interactions", "celltype_weights", "states")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    names = ("top_interactions", "celltype_weights", "states", "activities", "factor_scatter", "diagnostics", "spatial_state_1")
+    rows = [t.spark.read.parquet(out[n]).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in names]
+    return reduce(DataFrame.unionByName, rows)

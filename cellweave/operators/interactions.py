@@ -198,8 +198,12 @@ def append_gene_features(named: DataFrame, regions_of_cells: DataFrame, expressi
 
 
 def align_columns(matrix: DataFrame, columns: DataFrame, required: DataFrame) -> DataFrame:
-    """Keep required columns that are present, numbered in required order."""
-    dim = columns.select(*KEY).join(required.select(*KEY, "lri_idx"), KEY)
+    """Keep the required columns, matched by name and numbered as required.
+
+    ``columns`` (keys and names) may be those of the matrix or all possible ones: a required column
+    without any count has no rows either way.
+    """
+    dim = columns.select(*KEY, "lri_name").join(required.select("lri_name", "lri_idx"), "lri_name").drop("lri_name")
     return matrix.join(small_table(dim), KEY).select("sample_id", "region_id", "lri_idx", "value")
 
 

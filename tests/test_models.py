@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal, getcontext
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import special
-from cellweave.operators import de, factorize, ranks, states, stats
+from cellweave.functions.special import t_two_sided_values
+from cellweave.operators import de, factorize, interactions, ranks, states, stats
 
 
 def typed_cells(spark, n, types, samples=1):
@@ -249,3 +251,36 @@ def test_bh_matches_definition(spark):
     order = np.argsort(p)
     q = np.minimum.accumulate((np.array(p)[order] * 6 / np.arange(1, 7))[::-1])[::-1]
     assert [got[int(i)] for i in order] == pytest.approx(np.minimum(1, q).tolist())
+
+
+@pytest.mark.parametrize("v", [2, 4, 100, 498, 500, 502, 5000])
+def test_t_tail_against_the_finite_series(v):
+    """Closed form for even degrees of freedom in exact decimals, far tails included."""
+    getcontext().prec = 120
+    for t in (0.0, 0.3, 2.0, 9.0, 30.0):
+        t2 = Decimal(t) * Decimal(t)
+        y, c, total = v / (v + t2), Decimal(1), Decimal(0)
+        for j in range(v // 2):
+            total += c * y**j
+            c *= Decimal(2 * j + 1) / Decimal(2 * j + 2)
+        want = float(1 - total * Decimal(t) / (v + t2).sqrt())
+        assert t_two_sided_values(np.array([t]), np.array([float(v)]))[0] == pytest.approx(want, rel=1e-11)
+
+
+def test_slopes_out_of_reach_are_not_called_converged():
+    x = np.linspace(-2, 2, 2000)
+    bins = np.floor(x / de.BIN_WIDTH).astype(int)
+    keep = np.unique(bins)
+    d = x - (bins + 0.5) * de.BIN_WIDTH
+    moments = np.array([[np.sum(d[bins == b] ** i) for i in range(de.ORDER)] for b in keep])
+    near = (30 * x[-1] + 2 * x[-2]) / 32
+    mean = np.sum(x * np.exp(1.5 * x)) / np.sum(np.exp(1.5 * x))
+    slopes, done = de._solve_slopes(np.array([near, mean, -near]), (keep + 0.5) * de.BIN_WIDTH, moments, 200)
+    assert done.tolist() == [False, True, False] and slopes[1] == pytest.approx(1.5, abs=1e-8)
+
+
+def test_model_of_another_database_is_refused(spark):
+    ours = spark.createDataFrame([("a|b|L|R|paracrine",)], "lri_name string")
+    interactions.require_aligned(ours, ours)
+    with pytest.raises(ValueError, match="not found"):
+        interactions.require_aligned(ours, spark.createDataFrame([("a|b|L|X|paracrine",)], "lri_name string"))
