@@ -22,9 +22,9 @@ from pyspark.sql.functions import arrow_udf
 
 NO_RANK = np.iinfo(np.int32).max
 #: Pieces with their ids that a task keeps; the store is emptied beyond that, which changes no result.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 400_000
 #: Texts are split in turns of so many characters, so that few pieces are held at once.
-TURN_CHARS = 8_000_000
+TURN_CHARS = 4_000_000
 
 
 class Vocabulary:
