@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.special import DIGAMMA_SERIES, SHIFT, digamma, log_gamma
-from cellweave.session import BROADCAST_ROWS, cut_lineage, local_copy, small_table, with_each
+from cellweave.session import BROADCAST_ROWS, cut_lineage, forget, local_copy, small_table, with_each
 
 ALPHA = 0.1
 # Nonzeros updated at once in a projection task (times K doubles of working memory).
@@ -141,15 +141,17 @@ def fit(
 ) -> Model:
     """Fit by alternating half steps; stop when the bound gains less than ``tol`` (relative).
 
-    The counts are stored once, partitioned by row. Each new factor table is a reliable
-    checkpoint, so lineage stays one step long. The data term of the bound comes out of
-    the row step's own join; it describes the state before that step.
+    The counts are stored once, partitioned by row, and are not exchanged again: a row step stays
+    within their partitions and a column step exchanges sums. Each new factor table is a reliable
+    checkpoint that replaces the last one, so lineage stays one step long and one table of each
+    mode is kept. The data term of the bound comes out of the row step's own join; it describes
+    the state before that step.
     """
     k = n_components
     row_keys, col_keys = list(row_keys), list(col_keys)
     row_start = row_start or hash_start(row_keys, 2 * seed)
     col_start = col_start or hash_start(col_keys, 2 * seed + 1)
-    nnz = cut_lineage(matrix.select(*row_keys, *col_keys, "value").repartition(*row_keys))
+    nnz = cut_lineage(matrix.select(*row_keys, *col_keys, "value").repartition(*row_keys), keep_layout=True)
     row_dim, col_dim = cut_lineage(row_dim.select(*row_keys)), cut_lineage(col_dim.select(*col_keys))
     # sum of log(y!) is constant in the parameters.
     constant = float(nnz.agg(F.sum(log_gamma(F.col("value") + 1.0))).first()[0] or 0.0)
@@ -159,7 +161,10 @@ def fit(
     pending = None
     for step in range(max_iter):
         args = (row_keys, col_keys)
+        last_rows, last_cols = rows, cols
         rows = cut_lineage(_half_step(nnz, rows, cols, row_dim, row_keys, *args, col_sums, row_sums["beta"], alpha, k, broadcast_rows))
+        if step:
+            forget(last_rows)
         if pending is not None:
             bound = float(rows.agg(F.sum("fit")).first()[0]) + pending
             delta = None if not history else (bound - history[-1][1]) / abs(history[-1][1])
@@ -170,6 +175,8 @@ def fit(
         used_row_beta = row_sums["beta"]
         row_sums = _sums(rows, k)
         cols = cut_lineage(_half_step(nnz, rows, cols, col_dim, col_keys, *args, row_sums, col_sums["beta"], alpha, k, broadcast_rows))
+        if step:
+            forget(last_cols)
         used_col_beta = col_sums["beta"]
         col_sums = _sums(cols, k)
         if tol is not None:
@@ -187,9 +194,10 @@ def history_table(model: Model, spark) -> DataFrame:
     return spark.createDataFrame(model.history, "iteration int, elbo double, delta double")
 
 
-def _project_batch(y: np.ndarray, v: np.ndarray, sizes: np.ndarray, alpha: float, rate: np.ndarray, max_iter: int, tol: float, start: float) -> np.ndarray:
+def _project_batch(y: np.ndarray, v: np.ndarray, sizes: np.ndarray, alpha: float, rate: np.ndarray, max_iter: int, tol: float, start: float) -> tuple[np.ndarray, np.ndarray]:
     """Row updates of many cells at once, columns fixed: ``y`` and ``v`` list the counts and
-    column factors of all cells one after another, ``sizes`` says how many each cell has."""
+    column factors of all cells one after another, ``sizes`` says how many each cell has.
+    Returns the loadings and which cells stopped by themselves."""
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     g = np.full((len(sizes), v.shape[1]), start)
     # Cells stop on their own, so a result does not depend on who shares the batch.
@@ -204,7 +212,7 @@ def _project_batch(y: np.ndarray, v: np.ndarray, sizes: np.ndarray, alpha: float
         live &= moved
         if not live.any():
             break
-    return g
+    return g, ~live
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -220,11 +228,13 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 
 
 def project(
-    matrix: DataFrame, model: Model, cells: DataFrame, max_iter: int = 200, tol: float = 0.0, start: float = 1.0,
-    broadcast_rows: int = BROADCAST_ROWS,
+    matrix: DataFrame, model: Model, cells: DataFrame, max_iter: int = 200, tol: float = 1e-10, start: float = 1.0,
+    broadcast_rows: int = BROADCAST_ROWS, flag: bool = False,
 ) -> DataFrame:
     """(sample_id, cell_id, motif, loading) of every cell, with the column factors fixed.
 
+    With ``flag`` a column ``converged`` tells whether the cell stopped within ``max_iter`` passes.
+
     Rows are independent given the columns: thin counts are shuffled once by cell, and each
     cell's list (at most one entry per column) is updated in Arrow batches. Column factors
     proven small travel to the tasks as one broadcast matrix; otherwise they are joined to
@@ -271,20 +281,22 @@ def project(
             else:
                 v = extra.astype(float).reshape(-1, k)
             y = np.concatenate(batch["values"].to_list()).astype(float)
-            g = _project_batch(y, v, sizes, alpha, rate, max_iter, tol, start)
+            g, stopped = _project_batch(y, v, sizes, alpha, rate, max_iter, tol, start)
             out = batch[key].copy()
             for i in range(k):
                 out[f"g{i}"] = g[:, i]
+            out["stopped"] = stopped
             yield out
 
     fields = ", ".join(f"g{i} double" for i in range(k))
-    found = lists.mapInPandas(update, f"sample_id string, region_id bigint, {fields}")
+    found = lists.mapInPandas(update, f"sample_id string, region_id bigint, {fields}, stopped boolean")
     prior = np.exp(_digamma(np.full(k, alpha))) / rate
     all_cells = cells.select("sample_id", F.col("cell_id").alias("region_id")).join(found, key, "left")
     entries = F.array(*[
         F.struct(F.lit(i).alias("motif"), F.coalesce(f"g{i}", F.lit(float(prior[i]))).alias("loading")) for i in range(k)
     ])
-    return all_cells.select("sample_id", F.col("region_id").alias("cell_id"), F.inline(entries))
+    done = [F.coalesce("stopped", F.lit(True)).alias("converged")] if flag else []
+    return all_cells.select("sample_id", F.col("region_id").alias("cell_id"), *done, F.inline(entries))
 
 
 def rescale(w: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -38,12 +38,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read the stored rows, also after executor loss."""
+def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Reliable checkpoint: later stages read the stored rows, also after executor loss.
+
+    With ``keep_layout`` the stored table stays known to be partitioned as it is, so that joins and
+    groupings on its keys need no exchange. The adaptive planner reports no layout, so this one plan
+    is made without it.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    if not keep_layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint made by ``cut_lineage`` that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 from decimal import Decimal, getcontext
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import special
 from cellweave.functions.special import t_two_sided_values
 from cellweave.operators import de, factorize, interactions, ranks, states, stats
+from cellweave.session import cut_lineage
 
 
 def typed_cells(spark, n, types, samples=1):
@@ -284,3 +286,42 @@ def test_model_of_another_database_is_refused(spark):
     interactions.require_aligned(ours, ours)
     with pytest.raises(ValueError, match="not found"):
         interactions.require_aligned(ours, spark.createDataFrame([("a|b|L|X|paracrine",)], "lri_name string"))
+
+
+def test_counts_are_not_exchanged_and_old_factors_go(spark):
+    y = np.random.default_rng(5).poisson(0.4, (40, 12))
+    counts = counts_table(spark, y)
+    rows = counts.select("sample_id", "region_id").distinct()
+    cols = counts.select("lri_idx").distinct()
+    keys, col = ["sample_id", "region_id"], ["lri_idx"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nnz = cut_lineage(counts.select(*keys, *col, "value").repartition(*keys), keep_layout=True)
+        start = factorize.hash_start(keys, 0)
+        r, c = factorize._start(rows, keys, 2, start), factorize._start(cols, col, 2, factorize.hash_start(col, 1))
+        step = lambda dim, of: factorize._half_step(nnz, r, c, dim, of, keys, col, factorize._sums(c, 2), 1.0, 0.1, 2, 1000)
+
+        def exchanged(df):
+            """Exchanges whose input still holds single counts."""
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            at = next(i for i, line in enumerate(plan) if "value#" in line and "RDD" in line)
+            above, level = [], depth(plan[at])
+            for line in reversed(plan[:at]):
+                if depth(line) < level:
+                    level = depth(line)
+                    above.append(line)
+                    if "Aggregate" in line:
+                        break
+            return [line for line in above if "Exchange" in line and "Broadcast" not in line]
+
+        assert exchanged(step(rows, keys)) == [] and exchanged(step(cols, col)) == []
+        folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        count = lambda: sum(1 for _ in folder.glob("rdd-*"))
+        before = count()
+        factorize.fit(counts, rows, cols, 2, 3, tol=None)
+        few = count() - before
+        factorize.fit(counts, rows, cols, 2, 10, tol=None)
+        assert count() - before - few == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
