@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import in_turns
+
 NO_RANK = np.iinfo(np.int32).max
 #: Pieces with their ids that a task keeps; the store is emptied beyond that, which changes no result.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Texts are split in turns of so many characters, so that few pieces are held at once.
-TURN_CHARS = 4_000_000
+TURN_CHARS = 3_000_000
 
 
 class Vocabulary:
@@ -77,14 +79,14 @@ def replay(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
     sizes = np.array([len(pieces[i]) for i in todo])
     flat = np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)
     n = len(flat)
-    piece = np.repeat(np.arange(len(todo)), sizes)
-    token = np.append(v.byte[flat], -1)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    piece = np.repeat(np.arange(len(todo), dtype=np.int32), sizes)
+    token = np.append(v.byte[flat], np.int32(-1))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     alive, merged = np.ones(n + 1, bool), np.zeros(n + 1, bool)
     rank = np.full(n + 1, NO_RANK, np.int32)
     inner = np.flatnonzero(piece[:-1] == piece[1:])
     rank[inner] = v.rank_of(token[inner], token[inner + 1])
-    ends = np.append(piece, -1)  # of the position behind the last, no piece
+    ends = np.append(piece, np.int32(-1))  # of the position behind the last, no piece
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -186,9 +188,12 @@ def decode_ids(ids: bytes, v: Vocabulary) -> bytes:
 
 
 def encoder(rank_file: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
-    def encode(text: pa.Array) -> pa.Array:
+    def part(text: pa.Array) -> pa.Array:
         return pa.array(encode_texts([t or "" for t in text.to_pylist()], vocabulary(rank_file, pattern)), pa.binary())
 
+    def encode(text: pa.Array) -> pa.Array:
+        return in_turns(text, part, TURN_CHARS)
+
     return encode
 
 
@@ -200,6 +205,28 @@ def decoder(rank_file: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
     return decode
 
 
+def round_trip(rank_file: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    def part(text: pa.Array) -> pa.Array:
+        v = vocabulary(rank_file, pattern)
+        ids = encode_texts([t or "" for t in text.to_pylist()], v)
+        decoded = pa.array([decode_ids(x, v) for x in ids], pa.binary())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+
+    def both(text: pa.Array) -> pa.Array:
+        return in_turns(text, part, TURN_CHARS)
+
+    return both
+
+
+def encode_and_decode(
+    docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: the ids need not travel between Python workers, of
+    which a task then has one."""
+    coded = docs.withColumn("__coded", arrow_udf(round_trip(rank_file, pattern), "struct<ids:binary,decoded:binary>")(F.col(text)))
+    return coded.withColumn(ids, F.col("__coded.ids")).withColumn(decoded, F.col("__coded.decoded")).drop("__coded")
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a binary column of token ids (little-endian unsigned 32-bit) of whole texts.
 

@@ -60,4 +60,6 @@ def test_rows(odd_docs, no_docs, exact):
     assert len(rows) == odd_docs.count() and set(coded.columns) == {"doc_id", "text", "lang", "source", "n_chars", "ids", "key", "decoded"}
     for r in rows:
         assert numbers(r["ids"]) == exact.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
-    assert bpe.encode(no_docs, *WHERE).count() == 0
+    both = bpe.encode_and_decode(odd_docs.withColumnRenamed("keep", "ids"), *WHERE)
+    assert sorted(map(str, both.select(coded.columns).collect())) == sorted(map(str, rows))
+    assert bpe.encode(no_docs, *WHERE).count() == 0 and bpe.encode_and_decode(no_docs, *WHERE).count() == 0
