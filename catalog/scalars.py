@@ -137,7 +137,8 @@ def motif_table(t: Inputs):
 
 
 def occupied(t: Inputs):
-    return regions.patch_table(regions.assign_patches(t.cells())).agg(F.count("*").alias("n_regions"))
+    placed = regions.assign_patches(t.cells()).where("patch_id IS NOT NULL").select("sample_id", "patch_id")
+    return placed.distinct().agg(F.count("*").alias("n_regions"))
 
 
 ROUNDED = "lri_idx, motif, lri_name, round(factor, 6) AS factor, round(mean, 6) AS mean, celltype1, celltype2, ligand, receptor, signaling_type"

@@ -96,7 +96,13 @@ def _(t: Inputs):
     return _stored_cells(t, "matrix")
 
 
-@query("src_cell_lri", """
+@query("src_cell_lri", "SELECT sample_id, region_id, count(*) AS n_columns, CAST(sum(value) AS BIGINT) AS total FROM nmatrix GROUP BY ALL")
+def _(t: Inputs):
+    stored = _stored_cells(t, "matrix")
+    return stored.groupBy("sample_id", "region_id").agg(F.count("*").alias("n_columns"), F.sum("value").cast("long").alias("total"))
+
+
+@query("src_cell_info", """
 SELECT sample_id, n_cells, round(n / n_cells, 6) AS avg_neighborhood_size
 FROM (SELECT sample_id, count(*) AS n FROM edges GROUP BY ALL) JOIN (SELECT sample_id, count(*) AS n_cells FROM cells GROUP BY ALL) USING (sample_id)""")
 def _(t: Inputs):
