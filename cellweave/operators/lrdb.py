@@ -159,12 +159,30 @@ def pathway_map(lr: DataFrame) -> DataFrame:
     )
 
 
+def _containing(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    """Pairs of distinct names (x, y) of which one is a part of the other.
+
+    Names are short, so every part of each name is listed and matched by equality.
+    """
+    def parts(c: str) -> Column:
+        size = F.length(c)
+        each = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+            F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col(c), i, n),
+        )))
+        return F.explode(F.when(size == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(F.array(F.lit("")), each))))
+
+    xs, ys = a.select(x).distinct(), b.select(y).distinct()
+    inside = xs.select(x, parts(x).alias("_part")).join(ys, F.col("_part") == F.col(y)).select(x, y)
+    around = ys.select(y, parts(y).alias("_part")).join(xs, F.col("_part") == F.col(x)).select(x, y)
+    return inside.union(around).distinct()
+
+
 def annotate_pathways(df: DataFrame, lr: DataFrame) -> DataFrame:
     """Add ``pathway`` by exact pair, else by first fuzzy containment, else ``Unknown``.
 
     Only distinct (ligand, receptor) pairs are looked up, and only those without an exact
-    entry are searched: both sides of the containment test are at most the size of the LR
-    database, never of the data.
+    entry are searched. Containment is found name by name through equal parts, so every join
+    is one on equality.
     """
     lookup = small_table(pathway_map(lr))
     pairs = df.select("ligand", "receptor").distinct()
@@ -173,13 +191,11 @@ def annotate_pathways(df: DataFrame, lr: DataFrame) -> DataFrame:
         ["ligand", "receptor"], "left",
     ).where(F.col("pathway").isNotNull() & (F.col("pathway") != ""))
     rest = pairs.join(exact, ["ligand", "receptor"], "left_anti")
-    contains = (
-        (F.contains(F.col("lig"), F.col("ligand")) | F.contains(F.col("ligand"), F.col("lig")))
-        & (F.contains(F.col("rec"), F.col("receptor")) | F.contains(F.col("receptor"), F.col("rec")))
-    )
-    fuzzy = rest.join(lookup, contains, "inner").groupBy("ligand", "receptor").agg(
-        F.min_by("pathway", "ord").alias("pathway")
+    near = (
+        rest.join(_containing(rest, "ligand", lookup, "lig"), "ligand")
+        .join(_containing(rest, "receptor", lookup, "rec"), "receptor")
     )
+    fuzzy = near.join(lookup, ["lig", "rec"]).groupBy("ligand", "receptor").agg(F.min_by("pathway", "ord").alias("pathway"))
     found = small_table(exact.unionByName(fuzzy))
     return df.join(found, ["ligand", "receptor"], "left").withColumn(
         "pathway", F.coalesce("pathway", F.lit("Unknown"))
