@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog import base
 from catalog.base import K, Inputs, query, r6
 from catalog.scalars import motif_table
 from catalog.sources import de_rows
