@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import in_turns
+from .common import in_turns, small_batches
 
 NO_RANK = np.iinfo(np.int32).max
 #: Pieces with their ids that a task keeps; the store is emptied beyond that, which changes no result.
 KEPT_PIECES = 250_000
 #: Texts are split in turns of so many characters, so that few pieces are held at once.
 TURN_CHARS = 3_000_000
-#: Rows of an Arrow batch: texts, ids and decoded bytes of a batch are in memory together.
-BATCH_ROWS = 1_000
 
 
 class Vocabulary:
@@ -224,10 +222,8 @@ def encode_and_decode(
     docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
 ) -> DataFrame:
     """``encode`` and ``decode`` in one pass: the ids need not travel between Python workers, of
-    which a task then has one. The session's Arrow batches have at most BATCH_ROWS rows from here on."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    which a task then has one."""
+    docs = small_batches(docs)
     coded = docs.withColumn("__coded", arrow_udf(round_trip(rank_file, pattern), "struct<ids:binary,decoded:binary>")(F.col(text)))
     return coded.withColumn(ids, F.col("__coded.ids")).withColumn(decoded, F.col("__coded.decoded")).drop("__coded")
 

@@ -22,6 +22,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: a batch's texts and all that is made of them are in memory together.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches to BATCH_ROWS rows from here on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession
@@ -50,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def in_turns(column: pa.Array, work, most: int = 1 << 20) -> pa.Array:
+def in_turns(column: pa.Array, work, most: int = 1 << 19) -> pa.Array:
     """``work`` applied to slices of a text column of about ``most`` bytes, so that its arrays stay
     small whatever the batch; one longer text is a slice of its own."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import small_batches
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is never text of the page.
 HIDDEN = set("script style template noscript iframe object svg math select button textarea head title canvas audio video".split())
@@ -325,4 +327,4 @@ def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataF
     space inside a block is one space. Null and empty pages and pages without an article have an
     empty text; broken and unclosed markup is read as browsers close it; repeated rows stay.
     """
-    return pages.withColumn(text, extracted(F.col(source)))
+    return small_batches(pages).withColumn(text, extracted(F.col(source)))

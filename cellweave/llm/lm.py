@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Words, in_turns, stored
+from .common import Words, in_turns, small_batches, stored
 from .quality import LETTERS
 
 #: Frequent words with a class of their own, and classes that share all other words by hash.
@@ -224,7 +224,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 
     After a round the partitions' weights are averaged by tokens, summed in Spark weight by weight.
     """
-    known = classes(docs, text)
+    known = classes(small_batches(docs), text)
     flat = Network.start(known.counts).flat
     filled = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     for turn in range(rounds):

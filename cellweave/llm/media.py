@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import small_batches
+
 UNKNOWN = "application/octet-stream"
 #: Fixed values of the formats: magic string, its distance from the start, media type.
 MAGIC = [
@@ -275,7 +277,7 @@ def sniff(df: DataFrame, media: str = "media", declared: str = "declared") -> Da
     head = F.filter("spans", lambda s: s["start"] == 0)
     seen = F.when(F.size(head) > 0, F.element_at(head, 1)["type"]).when(said.isin(known), F.lit(UNKNOWN)).otherwise(said)
     return (
-        df.withColumn("spans", arrow_udf(_sniff, SPANS)(F.col(media)))
+        small_batches(df).withColumn("spans", arrow_udf(_sniff, SPANS)(F.col(media)))
         .withColumn("media_type", seen).withColumn("corrected", F.col("media_type") != said)
     )
 

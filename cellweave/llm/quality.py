@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Words, in_turns, mix, stored
+from .common import Words, in_turns, mix, small_batches, stored
 from .decontam import if_small
 
 #: Labelled rows of which the classifier is fitted, the longest text among them, and their choice.
@@ -261,7 +261,7 @@ def classify(
     model = model or train(docs, labels, doc_id, text, rows)
     score = evidence(model)
     added = [f"p_{t}" for t in model.targets] + ["keep"]
-    bare = docs.select(*[F.col(c) for c in docs.columns if c not in added])
+    bare = small_batches(docs).select(*[F.col(c) for c in docs.columns if c not in added])
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__{n}") for c, n in ((host, "host"), (path, "path"))]
     light = stored(bare.select(*site, score(F.col(text)).alias("z")).select("__host", "__path", "z.*"), "evidence")
     out = bare.select("*", *site, score(F.col(text)).alias("__z"))

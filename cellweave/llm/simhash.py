@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Words, in_turns, stored
+from .common import Words, in_turns, small_batches, stored
 from .components import components
 
 BITS = 64
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a component has no other); null and empty texts have fingerprint zero and link like any other;
     repeated rows stay repeated; an empty table gives no rows. Other columns are not read.
     """
-    prints = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "prints")
+    prints = stored(small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "prints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints)).select(F.col("node").alias("fp"), "root")
     classes = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
