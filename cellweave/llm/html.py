@@ -24,6 +24,15 @@ from .common import small_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is never text of the page.
 HIDDEN = set("script style template noscript iframe object svg math select button textarea head title canvas audio video".split())
+#: Start tags that may stand in a head; any other, and text, ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title script style noscript noframes template".split())
+#: Start tags that end an open svg or math, unless it holds one of the second set.
+NOT_FOREIGN = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN_TEXT = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+TABLE_PARTS = set("table caption tbody thead tfoot tr td th".split())
 RAW = re.compile(r"</(script|style|textarea|title|iframe|noscript)\b[^>]*>", re.I)
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -56,19 +65,30 @@ class Page:
         self.runs: list[tuple[int, str]] = []
         self.words, self.linked, self.marks = [0], [0], [0]
         self._pieces: list[str] = []
+        self._last: dict[str, int] = {}
         stack: list[tuple[str, int]] = [("#root", 0)]
         hidden = links = at = 0
         node = 0
         for m in self._tokens(source):
             begin, stop, name, end, attrs = m
+            if hidden and stack[-1][0] == "head" and source[at:begin].strip():
+                hidden, node = self._shut(stack, "head")
             if begin > at and not hidden:
                 self._text(node, source[at:begin], links)
             at = stop
             if not name:
                 continue
             if not end:
+                if hidden and (over := self._ended(stack, name)):
+                    hidden, node = self._shut(stack, over)
+                    if name == over == "select":
+                        continue
+                if name == "button" and not self._closed(source, stop, name):
+                    name = "#button"  # browsers show what an open button holds
+                elif attrs.endswith("/") and (name in ("svg", "math") or stack[-1][0] in ("svg", "math")):
+                    continue
                 if name in NO_PARAGRAPH:
-                    self._close(stack, {"p"}, {"table", "td", "button"})
+                    self._close(stack, {"p"}, {"table", "td", "button", "svg", "math", "template", *FOREIGN_TEXT})
                 if name in CLOSES:
                     self._close(stack, *CLOSES[name])
                 node = stack[-1][1]
@@ -95,10 +115,45 @@ class Page:
                 node = stack[-1][1]
             hidden = sum(x in HIDDEN for x, _ in stack)
             links = sum(x == "a" for x, _ in stack)
+        if hidden and stack[-1][0] == "head" and source[at:].strip():
+            hidden, node = self._shut(stack, "head")
         if not hidden:
             self._text(node, source[at:], links)
         self._flush(node)
 
+    @staticmethod
+    def _ended(stack: list, name: str) -> str | None:
+        """The hidden element that a start tag ends without an end tag of its own, if any."""
+        names = [x for x, _ in stack]
+        if "template" in names:
+            return None
+        if "head" in names and name not in IN_HEAD and not {"svg", "math"} & set(names):
+            return "head"
+        if "select" in names and (name in ("select", "input", "textarea") or name in TABLE_PARTS and "table" in names):
+            return "select"
+        if name == "button" and "button" in names:
+            return "button"
+        if name in NOT_FOREIGN:
+            for x in reversed(names):
+                if x in FOREIGN_TEXT:
+                    return None
+                if x in ("svg", "math"):
+                    return x
+        return None
+
+    @staticmethod
+    def _shut(stack: list, name: str) -> tuple[int, int]:
+        """End the innermost ``name`` and all inside it: how many hidden elements stay open, and the node."""
+        while stack.pop()[0] != name:
+            pass
+        return sum(x in HIDDEN for x, _ in stack), stack[-1][1]
+
+    def _closed(self, source: str, at: int, name: str) -> bool:
+        """Whether an end tag of ``name`` follows."""
+        if name not in self._last:
+            self._last[name] = max((m.start() for m in re.finditer(rf"</{name}\b", source, re.I)), default=-1)
+        return self._last[name] >= at
+
     @staticmethod
     def _tokens(source: str):
         """(begin, stop, name, is end tag, attributes); what looks like a tag inside raw text is none."""

@@ -69,3 +69,18 @@ def test_broken_markup_and_odd_rows(spark):
 def test_one_long_page():
     page = "<article>" + "<p>Some words of text, again and again.</p>" * 30_000 + "</article>"
     assert html.main_text(page, html.default_model()).count("\n\n") == 29_999
+
+
+def test_open_hidden_elements_end_as_in_browsers():
+    article = "<article><h1>Bells again</h1><p>It rained for days, and nobody knew when it would end.</p></article>"
+    want = "Bells again\n\nIt rained for days, and nobody knew when it would end."
+    model = html.default_model()
+    for before in (
+        "<html><head><title>t</title><body>", "<head><meta charset=x><link href=y>", "<head><style>a</style> <div>", "<head>Loose text",
+        "<body><button>Go", "<body><button>Go<button>On</button>", "<body><svg><path d='M0'><div>", "<body><svg viewBox='0'/>", "<math><mi>x</mi><div>",
+        "<table><tr><td><select><option>a<tr><td>b</table>", "<div><select><option>a<select></div>", "<div><select><option>a<input></div>",
+    ):
+        got = html.main_text(before + article, model)
+        assert want in got, (before, got)
+    for inside in ("<button>no</button>", "<select><option>no</select>", "<svg><desc><p>no</p></desc><text>no</text></svg>", "<template><body>no</body></template>"):
+        assert html.main_text(article.replace("</p>", inside + "</p>"), model) == want, inside
