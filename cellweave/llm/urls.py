@@ -7,6 +7,8 @@ by the share of distrust in what has reached it.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from .common import discard, stored
 from .decontam import ascii_lower, if_small
 
 DAMPING = 0.7
-ITERATIONS = 16
+#: Least number of steps, and the number at which propagation gives up with a warning.
+ITERATIONS, LIMIT = 16, 1000
 #: Iterations between two written states.
 STRIDE = 4
 DISTRUST = 0.5
@@ -54,13 +57,14 @@ def host_links(pages: DataFrame, host_column: str = "host", source: str = "html"
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, distrust: float = DISTRUST) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches.
 
     ``links``: (src, dst, n); ``seeds``: (host, trusted, blocked) flags. Both kinds of seeds share a
     mass of one. A step passes ``damping`` of a host's trust to the hosts it links to, and of its
     distrust to the hosts that link to it, by number of links; mass at a host without such links is
-    not passed on. Without seeds there are no rows. Every step is one join and one sum that is
+    not passed on. After ``iterations`` steps it goes on until no new host is reached and no host's
+    share of distrust crosses ``distrust``. Without seeds there are no rows. Every step is one join and one sum that is
     combined before its shuffle.
     """
     out = links.groupBy(F.col("src").alias("__k")).agg(F.sum("n").alias("__n"))
@@ -77,7 +81,10 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     )
     start = stored(start, "seeds")
     state = before = start
-    for step in range(1, iterations + 1):
+    step, last = 0, None
+    judged = F.col("distrust") > distrust * (F.col("trust") + F.col("distrust"))
+    while True:
+        step += 1
         moved = state.join(ways, "host").select(
             F.col("to").alias("host"), (damping * F.col("trust") * F.col("wt")).alias("trust"), (damping * F.col("distrust") * F.col("wd")).alias("distrust"),
         )
@@ -88,7 +95,14 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
             if before is not start:
                 discard(before)
             before = state
-    return state
+            if step + STRIDE >= iterations:
+                mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("host", judged))).first()
+                if step >= iterations and mark == last:
+                    return state
+                last = mark
+                if step >= LIMIT:
+                    warnings.warn(f"hosts or verdicts still changed after {step} steps", stacklevel=2)
+                    return state
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", source: str = "html", distrust: float = DISTRUST) -> DataFrame:
@@ -117,7 +131,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", source: str = "h
         F.count("*").alias("n"), F.count_if(F.col("__best.verdict") == "allow").alias("a"), F.count_if(F.col("__best.verdict") == "block").alias("b"),
     )
     seeds = stored(counts.where("host <> ''").select("host", (2 * F.col("a") > F.col("n")).alias("trusted"), (2 * F.col("b") > F.col("n")).alias("blocked")), "hosts")
-    scores = propagate(stored(host_links(bare, "host", source), "edges"), seeds)
+    scores = propagate(stored(host_links(bare, "host", source), "edges"), seeds, distrust=distrust)
     bad = scores.where(F.col("distrust") > distrust * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("__bad"))
     own = F.when(F.col("__bad").isNull(), F.lit("allow")).otherwise(F.lit("block"))
     return ruled(bare).join(if_small(stored(bad, "blocked")), F.col("host") == F.col("__bad"), "left").withColumn(

@@ -54,3 +54,11 @@ def test_verdicts_follow_links(spark):
 def test_main_path_runs_no_python(spark, small):
     plan = queries.QUERIES["op1_urls"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    rules = spark.createDataFrame([("bad.com", "/", "block"), ("good.org", "/", "allow")], "host string, path string, verdict string")
+    rows = [page(0, "http://bad.com/")] + [page(i, f"http://h{i}.net/", f"http://h{i - 1}.net/" if i > 1 else "http://bad.com/") for i in range(1, 31)]
+    rows.append(page(99, "http://alone.net/"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string, rule string"), rules).collect()}
+    assert got == {i: "block" for i in range(31)} | {99: "allow"}
