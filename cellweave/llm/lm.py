@@ -2,13 +2,14 @@
 
 Word counts of all documents choose the classes; the network is trained in numpy on all documents,
 each partition from the same start and averaged by tokens after each round; a document's score is
-the sum of the log probability of each token given its neighbours.
+the sum of the log probability of each token given its neighbours. A word of a shared class is
+charged its own share of the class's count, joined from the counts of all words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import Words, in_turns, small_batches, stored
+from .decontam import if_small
 from .quality import LETTERS
 
 #: Frequent words with a class of their own, and classes that share all other words by hash.
@@ -61,6 +63,8 @@ class Classes:
     number: np.ndarray
     counts: np.ndarray
     members: np.ndarray
+    #: (word, n) of all words, where it is at hand; never sent to Python workers.
+    table: DataFrame | None = None
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         shared = OWN + (hashes % np.uint64(SHARED)).astype(np.int64)
@@ -90,7 +94,7 @@ def classes(docs: DataFrame, text: str = "text") -> Classes:
         total[bucket] -= r["n"]
         members[bucket] -= 1
     order = np.argsort(words)
-    return Classes(words[order], order.astype(np.int64), total, np.maximum(members, 1))
+    return Classes(words[order], order.astype(np.int64), total, np.maximum(members, 1), counts)
 
 
 SHAPES = [
@@ -206,17 +210,71 @@ def trainer(flat: np.ndarray, known: Classes):
 class Model:
     classes: Classes
     flat: np.ndarray
+    #: (word, n) of all words; without it the words of a shared class count as equally likely.
+    table: DataFrame | None = None
+
+    def of_classes(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text, those of shared classes, and the sum of the log probabilities of their classes."""
+        words, ids, context = windows(text, self.classes)
+        out = self._classes(ids, context)
+        n = len(words.at) - 1
+        return np.diff(words.first), np.bincount(words.row, ids >= OWN, n), np.bincount(words.row, out, n) if len(ids) else np.zeros(n)
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each text, and the sum of their log probabilities given both sides."""
+        """Words of each text, and the sum of their log probabilities given both sides, all words of
+        a shared class being equally likely: what can be said without the table of counts."""
         words, ids, context = windows(text, self.classes)
+        out = self._classes(ids, context) - np.log(self.classes.members[ids])
+        n = len(words.at) - 1
+        return np.diff(words.first), np.bincount(words.row, out, n) if len(ids) else np.zeros(n)
+
+    def _classes(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         net = Network(self.flat)
         out = np.zeros(len(ids))
         for a in range(0, len(ids), BATCH):
             out[a:a + BATCH] = net.forward(context[:, a:a + BATCH], ids[a:a + BATCH], False)
-        out -= np.log(self.classes.members[ids])
-        n = len(words.at) - 1
-        return np.diff(words.first), np.bincount(words.row, out, n) if len(ids) else np.zeros(n)
+        return out
+
+
+def _shared_words(text: pa.Array, known: Classes) -> pa.Array:
+    """(word, n) of the distinct words of shared classes in each text."""
+    words = Words(text, LETTERS)
+    rare = known.of(words.hash) >= OWN
+    row, word = words.row[rare], words.hash[rare]
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(row))).astype(np.int32)
+    ends = np.searchsorted(row[first], np.arange(len(words.at))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(n, pa.int32())], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
+def shares(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(text_key, share): of each distinct text with words of shared classes, the mean log share of
+    such a word in the count of its class. Words that were never counted share one count.
+
+    A text's distinct words meet the counts of all words in one join and are summed by text.
+    """
+    known = replace(model.classes, table=None)
+
+    def whole(texts: pa.Array) -> pa.Array:
+        return in_turns(texts, lambda part: _shared_words(part, known))
+
+    total = F.array(*[F.lit(float(x)) for x in known.counts[OWN:]])
+    met = docs.select(text_key(text).alias("text_key"), F.inline(arrow_udf(whole, "array<struct<word:long,n:int>>")(F.col(text))))
+    # A word's class is the remainder of its unsigned hash, as in Classes.of.
+    size = F.element_at(total, F.col("word").bitwiseAND(F.lit(SHARED - 1).cast("long")).cast("int") + 1) + 1
+    own = met.join(model.table.withColumnRenamed("n", "__all"), "word", "left")
+    log = F.log(F.coalesce(F.col("__all"), F.lit(1)) / size)
+    # Equal texts add to both sums alike.
+    return own.groupBy("text_key").agg((F.sum(F.col("n") * log) / F.sum("n")).alias("share"))
+
+
+def text_key(text: str) -> Column:
+    """Two hashes of a text, 128 bits together."""
+    filled = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(filled).alias("a"), F.xxhash64(F.lit(SEED), filled).alias("b"))
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
@@ -224,7 +282,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 
     After a round the partitions' weights are averaged by tokens, summed in Spark weight by weight.
     """
-    known = classes(small_batches(docs), text)
+    counted = classes(small_batches(docs), text)
+    known = replace(counted, table=None)
     flat = Network.start(known.counts).flat
     filled = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     for turn in range(rounds):
@@ -236,20 +295,25 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
         )
         if summed.num_rows:
             flat = summed["v"].to_numpy().astype(np.float32)
-    return Model(known, flat)
+    return Model(known, flat, counted.table)
 
 
 def scored(text: Column, model: Model) -> Column:
-    kind = pa.struct([("n_tokens", pa.int64()), ("log_likelihood", pa.float64())])
+    """Struct of a text's words, its words of shared classes and the log probability of all classes;
+    if the model has no table of counts, of the words."""
+    kind = pa.struct([("n_tokens", pa.int64()), ("n_shared", pa.int64()), ("log_likelihood", pa.float64())])
+    bare, whole_words = Model(replace(model.classes, table=None), model.flat), model.table is None
 
     def part(texts: pa.Array) -> pa.Array:
-        n, total = model.score(texts)
-        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(total)], fields=list(kind))
+        n, shared, total = bare.of_classes(texts)
+        if whole_words:
+            total = bare.score(texts)[1]
+        return pa.StructArray.from_arrays([pa.array(x) for x in (n.astype(np.int64), shared.astype(np.int64), total)], fields=list(kind))
 
     def whole(texts: pa.Array) -> pa.Array:
         return in_turns(texts, part)
 
-    return arrow_udf(whole, "struct<n_tokens:long,log_likelihood:double>")(text)
+    return arrow_udf(whole, "struct<n_tokens:long,n_shared:long,log_likelihood:double>")(text)
 
 
 def score(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
@@ -261,6 +325,13 @@ def score(docs: DataFrame, text: str = "text", model: Model | None = None) -> Da
     """
     model = model or train(docs, text)
     added = ("n_tokens", "log_likelihood", "mean_log_likelihood")
-    rows = docs.select(*[F.col(c) for c in docs.columns if c not in added], scored(F.col(text), model).alias("__s"))
-    mean = F.when(F.col("__s.n_tokens") > 0, F.col("__s.log_likelihood") / F.col("__s.n_tokens"))
-    return rows.select(*[F.col(c) for c in rows.columns if c != "__s"], "__s.n_tokens", "__s.log_likelihood", mean.alias(added[2]))
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.select(*names, scored(F.col(text), model).alias("__s"))
+    total = F.col("__s.log_likelihood")
+    if model.table is not None:
+        found = stored(shares(small_batches(docs), model, text).select(F.col("text_key").alias("__k"), F.col("share").alias("__share")), "shares")
+        rows = rows.withColumn("__t", text_key(text)).join(if_small(found), F.col("__t") == F.col("__k"), "left")
+        total = total + F.when(F.col("__s.n_shared") > 0, F.col("__s.n_shared") * F.col("__share")).otherwise(F.lit(0.0))
+    out = rows.select(*[F.col(c) for c in names], F.col("__s.n_tokens").alias("n_tokens"), total.alias("log_likelihood"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.withColumn(added[2], mean)

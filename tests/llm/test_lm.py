@@ -55,3 +55,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert (r["n_tokens"] == 0) == empty and (r["mean_log_likelihood"] is None) == empty and r["log_likelihood"] <= 0
     assert len({r["log_likelihood"] for r in rows if r["doc_id"] == 1}) == 1
     assert lm.score(no_docs).count() == 0
+
+
+def test_words_of_a_shared_class_are_charged_their_own_counts(spark):
+    """Against counts taken here: what the classes leave open is the word's share of its class."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 4000}"
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(400)]
+    rows += rows[:2] + [(900, "frequent " * 3 + "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(df, rounds=1)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(df, model=model).collect()}
+    counts = {}
+    for _, text in rows:
+        for h in lm.Words(pa.array([text]), lm.LETTERS).hash.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    for i, text in rows:
+        hashes = lm.Words(pa.array([text]), lm.LETTERS).hash
+        ids = model.classes.of(hashes)
+        want = model.of_classes(pa.array([text]))[2][0]
+        want += sum(np.log(counts[h] / (model.classes.counts[c] + 1)) for h, c in zip(hashes.tolist(), ids) if c >= lm.OWN)
+        assert abs(got[i] - want) < 1e-3
+    assert any(c >= lm.OWN for c in ids)
