@@ -17,6 +17,8 @@ from .common import discard, document_key, stored
 WINDOW = 13
 #: A side is broadcast only if its measured bytes stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Taken for each row besides its values.
+ROW_BYTES = 64
 #: Between words: all of ASCII but digits and letters. Cutting there is many times faster than
 #: matching the words themselves.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,9 +40,16 @@ def words(text: Column) -> Column:
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if all its rows together are measured to be small."""
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in df.dtypes]
-    total = df.agg(F.sum(reduce(lambda a, b: a + b, sizes).cast("long"))).first()[0] or 0
+    """``df`` with a broadcast hint if all its rows together are measured to be small: the bytes of
+    strings and nested values, 16 for any other value, and what a hash table holds for a row."""
+
+    def size(column: str, kind: str) -> Column:
+        nested = kind.startswith(("struct", "array", "map"))
+        text = F.to_json(F.struct(column)) if nested else F.col(column)
+        return F.coalesce(F.octet_length(text), F.lit(0)) if nested or kind in ("string", "binary") else F.lit(16)
+
+    sizes = [size(c, t) for c, t in df.dtypes]
+    total = df.agg(F.sum((reduce(lambda a, b: a + b, sizes) + ROW_BYTES).cast("long"))).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, lm, media, passages, quality, simhash, urls, warc
+from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -205,3 +205,75 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Unsigned CRC-32 of the decimal ids of ``ids`` (id): one byte a step, from a table of 256 entries.
+_CRC = """crc_table AS MATERIALIZED (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y:
+  CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256) t(b)),
+crc_steps AS (SELECT id, CAST(id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS acc FROM ids
+  UNION ALL SELECT id, s, i + 1, xor(acc // 256, v) FROM crc_steps JOIN crc_table ON b = xor(acc % 256, ascii(s[i])) WHERE i <= length(s)),
+crcs AS MATERIALIZED (SELECT id, xor(acc, 4294967295) AS crc FROM crc_steps WHERE i = length(s) + 1)"""
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Levels that the manifest's SQL unrolls: enough for 3**14 documents of a source and 3**8 sources.
+_GROUP_LEVELS, _ROOT_LEVELS = 14, 8
+
+
+def _duck_leaf(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" if c != "text" else text for c in LEAF_FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _merkle_levels(name: str, leaves: str, levels: int) -> str:
+    """CTEs name0.. of (g, i, h, n), and name_way0.. of (g, i, place, proof, other) following each leaf."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})",
+           f"{name}_way0 AS (SELECT g, i, i AS place, '' AS proof, other FROM {leaves})"]
+    for k in range(1, levels + 1):
+        below = f"{name}{k - 1}"
+        out.append(f"""{name}{k} AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM (
+  SELECT g, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {below} WHERE n > 1 GROUP BY g, i // 3
+  UNION ALL SELECT g, i, h FROM {below} WHERE n = 1))""")
+        out.append(f"""{name}_way{k} AS MATERIALIZED (SELECT w.g, w.i, CASE WHEN any_value(n) > 1 THEN w.place // 3 ELSE w.place END AS place,
+  w.proof || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> w.place), '') AS proof,
+  CASE WHEN any_value(n) > 1 THEN sha256(string_agg(CASE WHEN b.i = w.place THEN w.other ELSE b.h END, '' ORDER BY b.i)) ELSE w.other END AS other
+  FROM {name}_way{k - 1} w JOIN {below} b ON w.g IS NOT DISTINCT FROM b.g AND w.place // 3 = b.i // 3 GROUP BY w.g, w.i, w.place, w.proof, w.other)""")
+    return ",\n".join(out)
+
+
+@query(f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL),
+{_CRC},
+leaves AS MATERIALIZED (SELECT doc_id, source AS g, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  CASE WHEN crc % 2 = 0 THEN {_duck_leaf("replace(text, chr(10), '')")} ELSE leaf END AS other
+  FROM (SELECT *, {_duck_leaf("text")} AS leaf FROM documents) LEFT JOIN crcs ON doc_id = id),
+{_merkle_levels("s", "leaves", _GROUP_LEVELS)},
+tops AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, g AS source, '' AS other FROM s{_GROUP_LEVELS}),
+{_merkle_levels("r", "tops", _ROOT_LEVELS)},
+upper AS MATERIALIZED (SELECT t.source, t.i, t.h AS subroot, w.proof FROM tops t JOIN r_way{_ROOT_LEVELS} w ON t.i = w.i),
+final AS (SELECT l.doc_id, l.h AS leaf, u.subroot, w.proof || u.proof AS proof, w.other, u.i AS top FROM leaves l
+  JOIN s_way{_GROUP_LEVELS} w ON l.g IS NOT DISTINCT FROM w.g AND l.i = w.i JOIN upper u ON l.g IS NOT DISTINCT FROM u.source),
+folded0 AS (SELECT *, top AS place FROM final),
+{",".join(f"""
+folded{k} AS (SELECT doc_id, leaf, subroot, proof, top, CASE WHEN n > 1 THEN place // 3 ELSE place END AS place,
+  CASE WHEN n > 1 THEN sha256(left_part || other || right_part) ELSE other END AS other FROM folded{k - 1} JOIN
+  (SELECT c.i AS c, any_value(c.n) AS n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < c.i), '') AS left_part,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > c.i), '') AS right_part FROM r{k - 1} c JOIN r{k - 1} b ON c.i // 3 = b.i // 3 GROUP BY c.i) ON place = c)"""
+  for k in range(1, _ROOT_LEVELS + 1))}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, other AS folded_root, other = h AS verified
+FROM folded{_ROOT_LEVELS} JOIN r{_ROOT_LEVELS} ON place = i
+""")
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and way to the root, and whether its text, in every second document
+    without its line breaks, still leads to that root."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    leaves = (
+        docs.withColumn("leaf", manifest.digest(*LEAF_FIELDS)).withColumn("tampered", tampered)
+        .withColumn("text", F.replace("text", F.lit("\n"), F.lit("")))
+        .select("doc_id", "source", "leaf", F.when(F.col("tampered"), manifest.digest(*LEAF_FIELDS)).alias("changed"))
+    )
+    found = manifest.manifest(leaves)
+    folded = manifest.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"),
+    )
