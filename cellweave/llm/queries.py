@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, urls, warc
+from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, trie, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,6 +213,37 @@ _CRC = """crc_table AS MATERIALIZED (SELECT b, list_reduce(list_prepend(b, range
 crc_steps AS (SELECT id, CAST(id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS acc FROM ids
   UNION ALL SELECT id, s, i + 1, xor(acc // 256, v) FROM crc_steps JOIN crc_table ON b = xor(acc % 256, ascii(s[i])) WHERE i <= length(s)),
 crcs AS MATERIALIZED (SELECT id, xor(acc, 4294967295) AS crc FROM crc_steps WHERE i = length(s) + 1)"""
+#: A rebuilt conversation takes its first turns from one of so many ids, and fewer than so many turns.
+HEAD_EVERY, HEAD_TURNS = 100, 6
+
+
+@query(f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL),
+{_CRC},
+own AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, length(coalesce(text, '')) AS size,
+  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT id AS c, id - id % {HEAD_EVERY} AS base, crc % {HEAD_TURNS} AS h FROM crcs),
+sizes AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+turns AS (SELECT v.c, o.i AS p, said, size FROM convs v JOIN own o ON o.c = v.base AND o.i <= h
+  UNION ALL SELECT v.c, o.i - h + least(h, coalesce(n, 0)), said, size FROM convs v JOIN own o USING (c) LEFT JOIN sizes s ON s.c = v.base WHERE o.i > h),
+walk AS MATERIALIZED (SELECT v.c, coalesce(string_agg(said, '' ORDER BY p), '') AS w, coalesce(list(size ORDER BY p) FILTER (said IS NOT NULL), []) AS sizes
+  FROM convs v LEFT JOIN turns USING (c) GROUP BY v.c),
+nodes AS MATERIALIZED (SELECT k, d, min(c) AS c, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE any_value(sizes[d]) END AS size,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (w = k), '')) AS ends
+  FROM (SELECT c, w, sizes, d, substr(w, 1, 64 * d) AS k FROM (SELECT *, unnest(range(0, len(sizes) + 1)) AS d FROM walk)) GROUP BY k, d),
+children AS (SELECT substr(k, 1, 64 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (SELECT substr(k, 1, 64 * e) AS k, sum((n - 1) * size) AS saved, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT x.*, c.k IS NULL AS leaf, unnest(range(0, d + 1)) AS e FROM nodes x LEFT JOIN children c USING (k)) GROUP BY 1)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, p.c AS parent_conv_id, x.n AS n_convs, CAST(coalesce(ch.n, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x LEFT JOIN children ch USING (k) JOIN below USING (k) LEFT JOIN nodes p ON x.d > 0 AND p.d = x.d - 1 AND p.k = substr(x.k, 1, 64 * (x.d - 1))
+""")
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    walked = trie.walks(table(spark, sf_dir, "conversations"))
+    return trie.trie(trie.with_heads(walked, HEAD_EVERY, HEAD_TURNS))
+
+
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels that the manifest's SQL unrolls: enough for 3**14 documents of a source and 3**8 sources.
 _GROUP_LEVELS, _ROOT_LEVELS = 14, 8
