@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, trie, urls, warc
+from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, toxicity, trie, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -207,6 +207,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a machine that no held-out label has taught."""
+    found = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 #: Unsigned CRC-32 of the decimal ids of ``ids`` (id): one byte a step, from a table of 256 entries.
 _CRC = """crc_table AS MATERIALIZED (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y:
   CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256) t(b)),
