@@ -188,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy(F.xxhash64("__id", F.lit(SAMPLE_SEED)), "__id").limit(rows)
     )
     found = (
-        docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= SAMPLE_CHARS)
-        .join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))
-        .select("__id", F.coalesce(F.col(text), F.lit("")).alias("text"), *TARGETS).dropDuplicates(["__id"]).orderBy("__id").toArrow()
+        docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        .where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+        .select("__id", "text", *TARGETS).dropDuplicates(["__id"]).orderBy("__id").toArrow()
     )
     labelled = np.stack([found[t].to_numpy() for t in TARGETS], axis=1).astype(float) if found.num_rows else np.zeros((0, len(TARGETS)))
     return fit(found["text"].combine_chunks(), labelled)

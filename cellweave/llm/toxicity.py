@@ -365,9 +365,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy(F.xxhash64("__id", F.lit(SAMPLE_SEED)), "__id").limit(rows)
     )
     found = (
-        docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= SAMPLE_CHARS)
-        .join(F.broadcast(chosen), F.col(doc_id) == F.col("__id"))
-        .select("__id", F.coalesce(F.col(text), F.lit("")).alias("__text"), "__toxic").dropDuplicates(["__id"])
+        docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+        .where(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+        .select("__id", "__text", "__toxic").dropDuplicates(["__id"])
         .orderBy(F.xxhash64("__id", F.lit(SAMPLE_SEED)), "__id").toArrow()
     )
     return fit(found["__text"].to_pylist(), found["__toxic"].to_numpy().astype(np.int64))
