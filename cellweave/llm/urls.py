@@ -119,13 +119,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", source: str = "h
         *[F.col(c) for c in pages.columns if c not in added and c != source], *([F.col(source)] if source not in added else []),
     ).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     fits = if_small(stored(
-        rules_of_hosts(bare.select("host").distinct(), rules).select("host", F.to_json("fits").alias("fits")), "fits",
-    )).withColumnRenamed("host", "__host")
-    parsed = F.from_json("fits", "array<struct<size:int,rule:string,from:string,verdict:string>>")
+        rules_of_hosts(bare.select("host").distinct(), rules).select(F.col("host").alias("__host"), F.to_json("fits").alias("__fits")), "fits",
+    ))
+    parsed = F.from_json("__fits", "array<struct<size:int,rule:string,from:string,verdict:string>>")
     best = F.try_element_at(F.filter(parsed, lambda r: F.startswith(F.col("path"), r["from"])), F.lit(1))
 
     def ruled(df: DataFrame) -> DataFrame:
-        return df.join(fits, F.col("host") == F.col("__host"), "left").withColumn("__best", best).drop("fits", "__host")
+        return df.join(fits, F.col("host") == F.col("__host"), "left").withColumn("__best", best).drop("__fits", "__host")
 
     counts = ruled(bare.select("host", "path")).groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("__best.verdict") == "allow").alias("a"), F.count_if(F.col("__best.verdict") == "block").alias("b"),
