@@ -9,7 +9,7 @@ charged its own share of the class's count, joined from the counts of all words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import Words, in_turns, small_batches, stored
-from .decontam import if_small
 from .quality import LETTERS
 
 #: Frequent words with a class of their own, and classes that share all other words by hash.
 OWN, SHARED = 768, 256
+#: Words whose shares of their class every worker holds, 16 bytes each; those of all others are joined.
+FREQUENT = 200_000
 #: Output classes are predicted in two steps, a group and a member of it.
 GROUP = 32
 GROUPS = (OWN + SHARED) // GROUP
@@ -63,6 +64,9 @@ class Classes:
     number: np.ndarray
     counts: np.ndarray
     members: np.ndarray
+    #: Sorted hashes of the most frequent words of shared classes, and the logs of their shares in them.
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: (word, n) of all words, where it is at hand; never sent to Python workers.
     table: DataFrame | None = None
 
@@ -74,14 +78,23 @@ class Classes:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == hashes, self.number[at], shared)
 
+    def log_shares(self, hashes: np.ndarray) -> np.ndarray:
+        """Log share of each word in its class, not a number where it is not among the frequent ones."""
+        if not len(self.common):
+            return np.full(len(hashes), np.nan)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.shares[at], np.nan)
+
 
 def classes(docs: DataFrame, text: str = "text") -> Classes:
-    """Counted over every document. What reaches the driver is bounded: OWN words and SHARED sums."""
+    """Counted over every document. What reaches the driver is bounded: OWN and FREQUENT words and
+    SHARED sums."""
     counts = stored(
         docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_count, "word long, n long")
         .groupBy("word").agg(F.sum("n").alias("n")), "counts",
     )
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    often = counts.orderBy(F.desc("n"), "word").limit(OWN + FREQUENT).toArrow()
+    top, often = often.slice(0, OWN).to_pylist(), often.slice(OWN)
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     # The remainder of the unsigned hash: SHARED is a power of two.
     rest = counts.groupBy(F.col("word").bitwiseAND(F.lit(SHARED - 1).cast("long")).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
@@ -94,7 +107,10 @@ def classes(docs: DataFrame, text: str = "text") -> Classes:
         total[bucket] -= r["n"]
         members[bucket] -= 1
     order = np.argsort(words)
-    return Classes(words[order], order.astype(np.int64), total, np.maximum(members, 1), counts)
+    common, n = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    share = np.log(n / (total[OWN + (common % np.uint64(SHARED)).astype(np.int64)] + 1))
+    at = np.argsort(common)
+    return Classes(words[order], order.astype(np.int64), total, np.maximum(members, 1), common[at], share[at], counts)
 
 
 SHAPES = [
@@ -214,11 +230,14 @@ class Model:
     table: DataFrame | None = None
 
     def of_classes(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text, those of shared classes, and the sum of the log probabilities of their classes."""
+        """Words of each text, those of shared classes whose shares are to be joined, and the sum of the
+        log probabilities of all classes and of the shares at hand."""
         words, ids, context = windows(text, self.classes)
         out = self._classes(ids, context)
+        share = np.where(ids >= OWN, self.classes.log_shares(words.hash), 0.0)
+        out += np.nan_to_num(share)
         n = len(words.at) - 1
-        return np.diff(words.first), np.bincount(words.row, ids >= OWN, n), np.bincount(words.row, out, n) if len(ids) else np.zeros(n)
+        return np.diff(words.first), np.bincount(words.row, np.isnan(share), n), np.bincount(words.row, out, n) if len(ids) else np.zeros(n)
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words of each text, and the sum of their log probabilities given both sides, all words of
@@ -237,9 +256,9 @@ class Model:
 
 
 def _shared_words(text: pa.Array, known: Classes) -> pa.Array:
-    """(word, n) of the distinct words of shared classes in each text."""
+    """(word, n) of the distinct words of shared classes in each text, the frequent ones left out."""
     words = Words(text, LETTERS)
-    rare = known.of(words.hash) >= OWN
+    rare = (known.of(words.hash) >= OWN) & np.isnan(known.log_shares(words.hash))
     row, word = words.row[rare], words.hash[rare]
     order = np.lexsort((word, row))
     row, word = row[order], word[order]
@@ -251,10 +270,10 @@ def _shared_words(text: pa.Array, known: Classes) -> pa.Array:
 
 
 def shares(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(text_key, share): of each distinct text with words of shared classes, the mean log share of
-    such a word in the count of its class. Words that were never counted share one count.
+    """(text_key, share): of each distinct text with words of shared classes that are not frequent, the
+    mean log share of such a word in the count of its class. Words never counted share one count.
 
-    A text's distinct words meet the counts of all words in one join and are summed by text.
+    A text's distinct words of that kind meet the counts of all words in one join and are summed by text.
     """
     known = replace(model.classes, table=None)
 
@@ -299,8 +318,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 
 
 def scored(text: Column, model: Model) -> Column:
-    """Struct of a text's words, its words of shared classes and the log probability of all classes;
-    if the model has no table of counts, of the words."""
+    """Struct of a text's words, its words whose shares are to be joined, and the log probability of all
+    classes and of the shares at hand; if the model has no table of counts, of the words."""
     kind = pa.struct([("n_tokens", pa.int64()), ("n_shared", pa.int64()), ("log_likelihood", pa.float64())])
     bare, whole_words = Model(replace(model.classes, table=None), model.flat), model.table is None
 
@@ -322,6 +341,9 @@ def score(docs: DataFrame, text: str = "text", model: Model | None = None) -> Da
     Tokens are words of letters, digits and non-ASCII. Null and empty texts have no tokens, a
     likelihood of zero and a null mean; repeated rows get equal values; an empty table stays empty.
     Input columns of the added names are replaced.
+
+    A model trained here depends on how the table is dealt over partitions, as each one trains from
+    the same start before they are averaged; the counts and the shares of words do not.
     """
     model = model or train(docs, text)
     added = ("n_tokens", "log_likelihood", "mean_log_likelihood")
@@ -330,7 +352,7 @@ def score(docs: DataFrame, text: str = "text", model: Model | None = None) -> Da
     total = F.col("__s.log_likelihood")
     if model.table is not None:
         found = stored(shares(small_batches(docs), model, text).select(F.col("text_key").alias("__k"), F.col("share").alias("__share")), "shares")
-        rows = rows.withColumn("__t", text_key(text)).join(if_small(found), F.col("__t") == F.col("__k"), "left")
+        rows = rows.withColumn("__t", text_key(text)).join(found, F.col("__t") == F.col("__k"), "left")
         total = total + F.when(F.col("__s.n_shared") > 0, F.col("__s.n_shared") * F.col("__share")).otherwise(F.lit(0.0))
     out = rows.select(*[F.col(c) for c in names], F.col("__s.n_tokens").alias("n_tokens"), total.alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cellweave.llm import lm
 
@@ -57,23 +58,43 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
-def test_words_of_a_shared_class_are_charged_their_own_counts(spark):
-    """Against counts taken here: what the classes leave open is the word's share of its class."""
+def brute(model, text, counts):
+    """Sum of the log probabilities of a text's words, one word after another: the class given its
+    neighbours by a plain softmax over groups and members, and the word's own share of a shared class."""
+    emb, b, a, ab, w, wb = (x.astype(np.float64) for x in lm.Network(model.flat).parts)
+    hashes = lm.Words(pa.array([text]), lm.LETTERS).hash
+    own = dict(zip(model.classes.words.tolist(), model.classes.number.tolist()))
+    ids = [own.get(h, lm.OWN + h % lm.SHARED) for h in hashes.tolist()]
+    total = 0.0
+    for i, (c, h) in enumerate(zip(ids, hashes.tolist())):
+        z = b.copy()
+        for place, shift in enumerate([*range(-lm.SIDE, 0), *range(1, lm.SIDE + 1)]):
+            z += emb[place][ids[i + shift] if 0 <= i + shift < len(ids) else lm.OWN + lm.SHARED]
+        z = np.tanh(z)
+        g, m = divmod(c, lm.GROUP)
+        groups, members = z @ a + ab, z @ w[g] + wb[g]
+        total += groups[g] - np.log(np.exp(groups).sum()) + members[m] - np.log(np.exp(members).sum())
+        if c >= lm.OWN:
+            whole = sum(n for x, n in counts.items() if x not in own and x % lm.SHARED == c - lm.OWN)
+            total += np.log(counts.get(h, 1) / (whole + 1))
+    return total
+
+
+@pytest.mark.parametrize("frequent", [0, 50, 100_000])
+def test_whole_scores_against_one_word_after_another(spark, monkeypatch, frequent):
+    """Wherever a word's share comes from, and for words that were never counted."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     rng = np.random.default_rng(8)
     word = lambda: f"w{int(rng.zipf(1.3)) % 4000}"
     rows = [(i, " ".join(word() for _ in range(40))) for i in range(400)]
     rows += rows[:2] + [(900, "frequent " * 3 + "rare")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm.train(df, rounds=1)
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(df, model=model).collect()}
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1)
     counts = {}
     for _, text in rows:
         for h in lm.Words(pa.array([text]), lm.LETTERS).hash.tolist():
             counts[h] = counts.get(h, 0) + 1
-    for i, text in rows:
-        hashes = lm.Words(pa.array([text]), lm.LETTERS).hash
-        ids = model.classes.of(hashes)
-        want = model.of_classes(pa.array([text]))[2][0]
-        want += sum(np.log(counts[h] / (model.classes.counts[c] + 1)) for h, c in zip(hashes.tolist(), ids) if c >= lm.OWN)
-        assert abs(got[i] - want) < 1e-3
-    assert any(c >= lm.OWN for c in ids)
+    asked = [*rows[::20], rows[-1], (901, "never seen rare w1"), (902, "")]
+    found = lm.score(spark.createDataFrame(asked, "doc_id long, text string"), model=model).collect()
+    for r in found:
+        assert abs(r["log_likelihood"] - brute(model, r["text"], counts)) < 1e-2
+    assert len(model.classes.common) == min(frequent, len(counts) - lm.OWN)
