@@ -11,6 +11,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import Words, in_turns, small_batches, stored
 from .components import components
+from .decontam import if_small
 
 BITS = 64
 SHINGLE = 4
@@ -176,6 +177,18 @@ def links(values: DataFrame, column: str = "fp", max_distance: int = MAX_DISTANC
     return small.union(left.where("members is not null").select(F.inline(_linker(max_distance)("members")))).distinct()
 
 
+def _classed(docs: DataFrame, doc_id: str, text: str, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, h) of the documents with a hash of their text, and (fp, root, component_id) of
+    the fingerprints; both stored, so that a common one can be split by the adaptive join."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    prints = stored(small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), h.alias("h")), "prints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(prints)).select(F.col("node").alias("fp"), "root")
+    classes = stored(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    top = stored(classes.groupBy("root").agg(F.min("least").alias("component_id")), "top")
+    return prints, stored(classes.join(top, "root").select("fp", "root", "component_id"), "roots")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of ``docs``.
 
@@ -184,37 +197,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a component has no other); null and empty texts have fingerprint zero and link like any other;
     repeated rows stay repeated; an empty table gives no rows. Other columns are not read.
     """
-    prints = stored(small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints)).select(F.col("node").alias("fp"), "root")
-    classes = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    top = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(classes.join(top, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    prints, classes = _classed(docs, doc_id, text, max_distance)
+    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one document, the one with the smallest id.
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one row, that of the smallest id (null last).
 
-    Rows that repeat the kept id leave one row, that of the smallest text. A component without any
-    id leaves nothing to tell its rows apart, so all of them stay.
+    Rows are told apart by id and text together: if an id stands in several components, it stays in
+    each where it is the smallest. Of equal rows one stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    gone = found.where("doc_id is null and component_id is not null or doc_id <> component_id")
-    ids = gone.where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs[doc_id] == F.col("__id"), "left_anti")
-    if not gone.where("doc_id is null").isEmpty():
-        lone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-        bare = kept.where(F.col(doc_id).isNull()).withColumn("__fp", fingerprints(F.col(text)))
-        kept = kept.where(F.col(doc_id).isNotNull()).unionByName(
-            bare.join(lone, bare["__fp"] == lone["fp"], "left_semi").drop("__fp")
-        )
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    prints, classes = _classed(docs, doc_id, text, max_distance)
+    rows = prints.join(classes, "fp", "left").select("doc_id", "h", "root")
+    kept_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m")
+    firsts = stored(rows.groupBy("root").agg(kept_row).select(F.col("root").alias("of"), F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__kept")), "firsts")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__kept")))
+    gone = stored(rows.join(firsts, F.col("root") == F.col("of")).where(other).select(F.col("doc_id").alias("__gone"), F.col("h").alias("__text")).distinct(), "gone")
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = hashed.join(if_small(gone), F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__text")), "left_anti")
+    twice = stored(prints.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__twice"), F.col("h").alias("__of")), "twice")
+    names = [F.col(c) for c in docs.columns]
     if twice.isEmpty():
-        return kept
-    several = kept.join(twice, kept[doc_id] == F.col("__id"), "left_semi")
-    first = several.groupBy(doc_id).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    one = (
-        several.join(first, doc_id).where(F.coalesce(F.col(text), F.lit("")) == F.col("__text"))
-        .select(*[F.col(c) for c in docs.columns]).dropDuplicates([doc_id])
-    )
-    return kept.join(twice, kept[doc_id] == F.col("__id"), "left_anti").unionByName(one)
+        return kept.select(*names)
+    again = F.col(doc_id).eqNullSafe(F.col("__twice")) & (F.col("__h") == F.col("__of"))
+    one = kept.join(twice, again, "left_semi").dropDuplicates([doc_id, "__h"])
+    return kept.join(twice, again, "left_anti").select(*names).unionByName(one.select(*names))

@@ -34,3 +34,22 @@ def test_each_stage_on_what_its_predecessor_kept(spark, small):
     rows = kept[5].collect()
     assert all(r["round_trip"] and 4 * r["n_tokens"] == len(r["ids"]) for r in rows)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} == ids[5]
+
+
+def test_odd_rows_and_empty_tables(spark, small, odd_docs, no_docs):
+    """Nulls in every column, empty and long texts, repeated rows, and further columns."""
+    for docs in (odd_docs, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stored(stage(spark, docs, small), "stage")
+            assert docs.count() <= before.count(), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == corpus_pipeline.COLUMNS
+                assert docs.where("n_chars <> length(text) or (text is null) <> (n_chars is null)").isEmpty()
+    assert docs.count() == 0 and docs.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
+
+
+def test_clean_rows_of_one_id_stay(spark, small):
+    rows = [(1, "alpha beta gamma delta epsilon " * 9), (5, "alpha beta gamma delta epsilon " * 9), (5, "quite other words stand in this row alone " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    kept = corpus_pipeline.distinct(spark, docs, small).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2]])

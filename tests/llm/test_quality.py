@@ -67,3 +67,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert set(rows[0].asDict()) == {*odd_docs.columns, "p_quality", "p_toxic"}
     assert quality.classify(no_docs, labels).count() == 0
     assert quality.classify(odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def test_columns_named_like_the_labels(spark, odd_docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    odd = odd_docs.selectExpr("*", "'x' AS quality", "1 AS toxic", "2 AS __id", "3 AS p_toxic")
+    found = quality.classify(odd, labels)
+    assert found.count() == odd_docs.count() and {"quality", "toxic", "__id"} <= set(found.columns)

@@ -62,3 +62,11 @@ def test_long_chains_are_followed_to_their_end(spark):
     rows.append(page(99, "http://alone.net/"))
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string, rule string"), rules).collect()}
     assert got == {i: "block" for i in range(31)} | {99: "allow"}
+
+
+def test_columns_named_like_the_joined_ones(spark):
+    rules = spark.createDataFrame([("bad.com", "/", "block")], "host string, path string, verdict string")
+    rows = [(1, "http://bad.com/", "", "x", 1), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, fits string, n int")
+    got = {r["page_id"]: (r["verdict"], r["fits"], r["n"]) for r in urls.judge(df, rules).collect()}
+    assert got == {1: ("block", "x", 1), 2: ("allow", None, None)}
