@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir); ``run`` writes every result as Parquet into the
 shared folder and reads it back as the documents of the next stage.
+
+All stages take null ids and texts, empty and very long texts, repeated rows and empty tables as
+their operators say: a null text stays null (its n_chars too) and encodes to no ids, rows are
+dropped by a stage's own decision only, an empty table stays empty. Columns other than those of
+documents end with the first stage.
 """
 
 from __future__ import annotations
