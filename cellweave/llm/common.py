@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import cached_property
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from cellweave.session import scratch_path
 
 _U = np.uint64
+_LIBC = ctypes.CDLL(None)
 _BASE, _BASE_WORD = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1B54A32D192ED03 | 1)
 
 
@@ -62,6 +64,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def give_back() -> None:
+    """Return memory that freed arrays still hold to the system: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def in_turns(column: pa.Array, work, most: int = 1 << 19) -> pa.Array:
     """``work`` applied to slices of a text column of about ``most`` bytes, so that its arrays stay
     small whatever the batch; one longer text is a slice of its own."""
@@ -73,7 +82,10 @@ def in_turns(column: pa.Array, work, most: int = 1 << 19) -> pa.Array:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
         parts.append(work(column.slice(lo, hi - lo)))
         lo = hi
-    return pa.concat_arrays(parts) if parts else work(column)
+    out = pa.concat_arrays(parts) if parts else work(column)
+    del parts
+    give_back()
+    return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)
