@@ -197,6 +197,75 @@ def _(t: Inputs):
     return fixed_fit(t).column_factors().withColumn("factor", F.round("factor", 6))
 
 
+# The production fit: K = 15, stopped by the bound's relative gain. SQL makes WHOLE_STEPS iterations and
+# takes the first at which the rule holds.
+WHOLE_K, WHOLE_TOL, WHOLE_STEPS = 15, 1e-4, 48
+
+
+def _whole_fit_ctes() -> None:
+    c, ks = base.CTE, range(WHOLE_K)
+    tables = {"r": ("sample_id, region_id", "rdim", ROW_START), "c": ("lri_idx", "lri", COL_START)}
+
+    def named(x: str, i: int) -> None:
+        """Wide factors, column sums and rate of the long factors wl."""
+        keys = tables[x][0]
+        c[f"wf{x}{i}"] = f"SELECT {keys}, {', '.join(f'max(g) FILTER (k = {k}) AS g{k}' for k in ks)} FROM wl{x}{i} GROUP BY {keys}"
+        c[f"wt{x}{i}"] = f"SELECT k, sum(e) AS t FROM wl{x}{i} GROUP BY k"
+        c[f"wb{x}{i}"] = f"SELECT count(*) / sum(e) AS beta FROM wl{x}{i}"
+
+    def half(x: str, i: int, row: str, col: str, other: str) -> None:
+        keys, dim, _ = tables[x]
+        total = " + ".join(f"r.g{k} * c.g{k}" for k in ks)
+        c[f"ws{x}{i}"] = f"""
+  SELECT {keys}, {', '.join(f'sum(value * p{k} / total) AS s{k}' for k in ks)} FROM (SELECT sample_id, region_id, lri_idx, value,
+    {', '.join(f'r.g{k} * c.g{k} AS p{k}' for k in ks)}, {total} AS total FROM ymat JOIN {row} r USING (sample_id, region_id) JOIN {col} c USING (lri_idx)) GROUP BY {keys}"""
+        c[f"wl{x}{i}"] = f"""
+  SELECT {keys}, k, shape, rate, exp({sql_digamma('shape')}) / rate AS g, shape / rate AS e FROM (
+    SELECT {keys}, k, {ALPHA} + coalesce(s, 0) AS shape, {ALPHA} * beta + t AS rate FROM (SELECT {keys}, unnest(range({WHOLE_K})) AS k FROM {dim})
+    LEFT JOIN (SELECT {keys}, unnest(range({WHOLE_K})) AS k, unnest([{', '.join(f's{k}' for k in ks)}]) AS s FROM ws{x}{i}) USING ({keys}, k)
+    JOIN {other} USING (k), wb{x}{i - 1})"""
+        named(x, i)
+
+    def prior(x: str, i: int) -> str:
+        return f"""(SELECT sum({ALPHA} * ln({ALPHA} * beta) - lgamma({ALPHA}) + ({ALPHA} - 1) * ln(g) - {ALPHA} * beta * e + shape - ln(rate)
+    + lgamma(shape) + (1 - shape) * (ln(g) + ln(rate))) FROM wl{x}{i}, wb{x}{i - 1})"""
+
+    for x, (keys, dim, start) in tables.items():
+        formula = start.replace("{k}", "k")
+        c[f"wl{x}0"] = f"SELECT {keys}, k, {formula} AS g, {formula} AS e FROM (SELECT {keys}, unnest(range({WHOLE_K})) AS k FROM {dim})"
+        named(x, 0)
+    total = " + ".join(f"r.g{k} * c.g{k}" for k in ks)
+    for i in range(1, WHOLE_STEPS + 1):
+        half("r", i, f"wfr{i - 1}", f"wfc{i - 1}", f"wtc{i - 1}")
+        half("c", i, f"wfr{i}", f"wfc{i - 1}", f"wtr{i}")
+        c[f"wbound{i}"] = f"""
+  SELECT {i} AS i, (SELECT sum(value * ln({total}) - lgamma(value + 1)) FROM ymat JOIN wfr{i} r USING (sample_id, region_id) JOIN wfc{i} c USING (lri_idx))
+    - (SELECT sum(r.t * c.t) FROM wtr{i} r JOIN wtc{i} c USING (k)) + {prior("r", i)} + {prior("c", i)} AS b"""
+    c["wstop"] = f"""
+  SELECT min(i) AS n, min_by(b, i) AS b FROM (SELECT i, b, (b - lag(b) OVER (ORDER BY i)) / abs(lag(b) OVER (ORDER BY i)) AS d FROM (
+    {" UNION ALL ".join(f"FROM wbound{i}" for i in range(1, WHOLE_STEPS + 1))})) WHERE d < {WHOLE_TOL}"""
+
+
+_whole_fit_ctes()
+
+
+@query("mdl_bpf_converged", " UNION ALL ".join(
+    f"SELECT lri_idx, CAST(k AS INT) AS motif, round(g, 4) AS factor, CAST(n AS INT) AS n_iterations, round(b, 2) AS bound, true AS converged FROM wlc{i}, wstop WHERE n = {i}"
+    for i in range(2, WHOLE_STEPS + 1)))
+def _(t: Inputs):
+    """Column factors of the fit that its own rule stopped, with the number of iterations and the bound."""
+    matrix, rows, columns = fit_inputs(t)
+    model = factorize.fit_blocked(
+        matrix, rows, columns, WHOLE_K, 300, WHOLE_TOL, ALPHA,
+        row_start=lambda k: F.expr(ROW_START.format(k=k)), col_start=lambda k: F.expr(COL_START.format(k=k)),
+    )
+    n, bound, _ = model.history[-1]
+    return model.column_factors().select(
+        "lri_idx", "motif", F.round("factor", 4).alias("factor"), F.lit(n).alias("n_iterations"), F.lit(round(bound, 2)).alias("bound"),
+        F.lit(model.converged).alias("converged"),
+    )
+
+
 @query("mdl_bpf_row_totals", "SELECT sample_id, region_id, CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM rdim LEFT JOIN ymat USING (sample_id, region_id) GROUP BY ALL")
 def _(t: Inputs):
     """After a row update the shape gains of a row add up to its counts."""

@@ -13,8 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellweave.functions.special import DIGAMMA_SERIES, SHIFT, digamma, log_gamma
 from cellweave.session import BROADCAST_ROWS, cut_lineage, forget, local_copy, small_table, with_each
@@ -22,6 +26,8 @@ from cellweave.session import BROADCAST_ROWS, cut_lineage, forget, local_copy, s
 ALPHA = 0.1
 # Nonzeros updated at once in a projection task (times K doubles of working memory).
 MAX_NONZEROS = 1_000_000
+# Nonzeros whose shares are worked out at once while fitting.
+BLOCK_NONZEROS = 200_000
 
 
 def hash_start(keys: list[str], seed: int) -> Callable[[int], Column]:
@@ -190,6 +196,160 @@ def fit(
     return model
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after a shift by eight."""
+    z, out = x + 8.0, np.zeros_like(x)
+    for i in range(8):
+        out -= np.log(x + i)
+    inv = 1 / z
+    series = inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 * (1 / 1260 - inv**2 / 1680)))
+    return out + (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series
+
+
+def _priors(shape: np.ndarray, rate: np.ndarray, alpha: float, beta: float) -> float:
+    """Prior and entropy part of the bound of factors with Gamma(shape, rate) posteriors."""
+    digammas = _digamma(shape)
+    log_g, e = digammas - np.log(rate), shape / rate
+    return float((
+        alpha * math.log(alpha * beta) - math.lgamma(alpha) + (alpha - 1) * log_g - alpha * beta * e
+        + shape - np.log(rate) + _log_gamma(shape) + (1 - shape) * digammas
+    ).sum())
+
+
+def _shared_out(g: np.ndarray, v: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each count shared out over the components, and its intensity."""
+    a = g * v
+    total = a.sum(1)
+    return a * (y / total)[:, None], total
+
+
+def _pass(v: np.ndarray, rate: np.ndarray, alpha: float, beta: float, row_keys: list[str]):
+    """Update the rows of a partition and add up, with the new rows, what the columns get from them."""
+    k = v.shape[1]
+
+    def run(batches):
+        gained, totals = np.zeros_like(v), np.zeros(k + 2)
+        for batch in batches:
+            sizes_of = pc.list_value_length(batch["columns"]).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(sizes_of))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BLOCK_NONZEROS, "right")) - 1)
+                part, sizes = batch.slice(lo, hi - lo), sizes_of[lo:hi]
+                j, y = (part[c].flatten().to_numpy(zero_copy_only=False) for c in ("columns", "counts"))
+                g = part["g"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                row, own = np.repeat(np.arange(hi - lo), sizes), v[j]
+                share, total = _shared_out(g[row], own, y)
+                shape = alpha + np.stack([np.bincount(row, share[:, c], hi - lo) for c in range(k)], axis=1)
+                g = np.exp(_digamma(shape)) / rate
+                share, _ = _shared_out(g[row], own, y)
+                for c in range(k):
+                    gained[:, c] += np.bincount(j, share[:, c], len(v))
+                totals[:k] += (shape / rate).sum(0)
+                totals[k] += (y * np.log(total)).sum()
+                totals[k + 1] += _priors(shape, rate, alpha, beta)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * k), pa.array(shape.ravel()))
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in row_keys], pa.nulls(hi - lo, pa.int32()), vectors], [*row_keys, "column", "shape"])
+                lo = hi
+        some = np.flatnonzero(gained.sum(1) > 0)
+        rows = [*gained[some].tolist(), totals.tolist()]
+        yield pa.RecordBatch.from_arrays([
+            *[pa.nulls(len(rows), t) for t in run.key_types], pa.array([*some.tolist(), -1], pa.int32()), pa.array(rows, pa.list_(pa.float64())),
+        ], [*row_keys, "column", "shape"])
+
+    return run
+
+
+def fit_blocked(
+    matrix: DataFrame, row_dim: DataFrame, col_dim: DataFrame, n_components: int = 15, max_iter: int = 300,
+    tol: float | None = 1e-4, alpha: float = ALPHA, seed: int = 0,
+    row_keys: tuple[str, ...] = ("sample_id", "region_id"), col_keys: tuple[str, ...] = ("lri_idx",),
+    row_start: Callable[[int], Column] | None = None, col_start: Callable[[int], Column] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> Model:
+    """``fit`` with two jobs an iteration, for columns proven to be at most ``broadcast_rows``.
+
+    A row's counts are one pair of arrays, stored once and partitioned by row. One job updates the
+    rows of each partition in array steps and adds up, in the same pass, what every column gets from
+    the new rows; the second adds up those sums, one row per column. Only the rows' K shapes are
+    exchanged (to meet their counts) and written anew. More columns than that go to ``fit``.
+    """
+    k = n_components
+    row_keys, col_keys = list(row_keys), list(col_keys)
+    spark = matrix.sparkSession
+    col_start = col_start or hash_start(col_keys, 2 * seed + 1)
+    row_start = row_start or hash_start(row_keys, 2 * seed)
+    starts = _start(col_dim.select(*col_keys), col_keys, k, col_start)
+    local = local_copy(starts.orderBy(*col_keys), broadcast_rows)
+    if local is starts or local.count() > broadcast_rows:
+        return fit(matrix, row_dim, col_dim, k, max_iter, tol, alpha, seed, tuple(row_keys), tuple(col_keys), row_start, col_start, broadcast_rows)
+    columns = local.toPandas()
+    v = columns[_names("g", k)].to_numpy(float)
+    numbers = spark.createDataFrame(columns[col_keys].assign(_j=np.arange(len(columns), dtype=np.int32)), local.select(*col_keys).withColumn("_j", F.lit(0)).schema)
+    entries = matrix.join(F.broadcast(numbers), col_keys).groupBy(*row_keys).agg(F.collect_list(F.struct("_j", F.col("value").cast("double").alias("y"))).alias("x"))
+    blocks = cut_lineage(
+        row_dim.select(*row_keys).join(entries, row_keys, "left")
+        .select(*row_keys, F.coalesce(F.col("x._j"), F.expr("CAST(array() AS array<int>)")).alias("columns"), F.coalesce(F.col("x.y"), F.expr("CAST(array() AS array<double>)")).alias("counts"))
+        .repartition(*row_keys), keep_layout=True,
+    )
+    constant = float(blocks.select(F.explode("counts").alias("y")).agg(F.sum(log_gamma(F.col("y") + 1.0))).first()[0] or 0.0)
+    state = row_dim.select(*row_keys, F.array(*[row_start(i) for i in range(k)]).alias("g"))
+    first = state.agg(F.count("*"), *[F.sum(F.col("g")[i]) for i in range(k)]).first()
+    n_rows, row_e = first[0], np.array(first[1:], float)
+    row_beta, col_e = n_rows * k / row_e.sum(), v.sum(0)
+    col_beta = len(v) * k / col_e.sum()
+    shape_c = rate_c = None
+    key_types = ", ".join(f"{c} {t}" for c, t in row_dim.select(*row_keys).dtypes)
+    shapes = StructType.fromDDL(f"{key_types}, column int, shape array<double>")
+    history: list[tuple[int, float, float | None]] = []
+    pending = rows = None
+    for step in range(max_iter):
+        rate = alpha * row_beta + col_e
+        run = _pass(v, rate, alpha, row_beta, row_keys)
+        run.key_types = [f.type for f in to_arrow_schema(shapes)][:len(row_keys)]
+        last, made = rows, cut_lineage(blocks.join(state, row_keys).mapInArrow(run, shapes))
+        sums = made.where("column is not null").groupBy("column").agg(
+            *[F.sum(F.get("shape", F.lit(i))).alias(f"s{i}") for i in range(k + 2)],
+        ).toPandas().set_index("column")
+        if last is not None:
+            forget(last)
+        totals = sums.loc[-1].to_numpy(float)
+        rows, rows_rate = made, rate
+        if pending is not None:
+            bound = totals[k] + pending
+            delta = None if not history else (bound - history[-1][1]) / abs(history[-1][1])
+            history.append((step, float(bound), None if delta is None else float(delta)))
+            if tol is not None and delta is not None and delta < tol:
+                row_beta = n_rows * k / totals[:k].sum()
+                break
+        row_priors, row_e = totals[k + 1], totals[:k]
+        row_beta = n_rows * k / row_e.sum()
+        gained = np.zeros_like(v)
+        own = sums.drop(index=-1)
+        gained[own.index.to_numpy()] = own[_names("s", k)].to_numpy(float)
+        shape_c, rate_c = alpha + gained, alpha * col_beta + row_e
+        v, col_e = np.exp(_digamma(shape_c)) / rate_c, (shape_c / rate_c).sum(0)
+        if tol is not None:
+            pending = -float(row_e @ col_e) - constant + row_priors + _priors(shape_c, rate_c, alpha, col_beta)
+        col_beta = len(v) * k / col_e.sum()
+        log_g = [F.exp(digamma(F.col("shape")[i])) / F.lit(float(rate[i])) for i in range(k)]
+        state = rows.where("column is null").select(*row_keys, F.array(*log_g).alias("g"))
+    row_table = rows.where("column is null").select(
+        *row_keys, *[F.col("shape")[i].alias(f"shape{i}") for i in range(k)], *[F.lit(float(rows_rate[i])).alias(f"rate{i}") for i in range(k)],
+    ).select(
+        "*", *[(F.exp(digamma(F.col(f"shape{i}"))) / F.col(f"rate{i}")).alias(f"g{i}") for i in range(k)],
+        *[(F.col(f"shape{i}") / F.col(f"rate{i}")).alias(f"e{i}") for i in range(k)],
+    )
+    values = {c: columns[c] for c in col_keys}
+    for name, table in (("shape", shape_c), ("rate", np.broadcast_to(rate_c, v.shape)), ("g", v), ("e", shape_c / rate_c)):
+        values |= {f"{name}{i}": table[:, i] for i in range(k)}
+    kinds = ", ".join([*(f"{c} {t}" for c, t in col_dim.select(*col_keys).dtypes), *(f"{n}{i} double" for n in ("shape", "rate", "g", "e") for i in range(k))])
+    model = Model(row_table, spark.createDataFrame(pd.DataFrame(values), kinds), row_keys, col_keys, k, alpha, row_beta, col_beta, history)
+    if tol is not None:
+        model.converged = bool(history) and history[-1][2] is not None and history[-1][2] < tol
+    return model
+
+
 def history_table(model: Model, spark) -> DataFrame:
     return spark.createDataFrame(model.history, "iteration int, elbo double, delta double")
 

@@ -140,26 +140,40 @@ def patch_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTa
     return pair_values(patch_counts(cells, expression, p, size), p, ["sample_id", "region_id"])
 
 
-def neighborhood_counts(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, **kw) -> DataFrame:
+def neighborhood_counts(
+    cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, centers: DataFrame | None = None, **kw,
+) -> DataFrame:
     """Counts over square neighborhoods, per distinct center position."""
     here = cell_features(
         cells.select("sample_id", "cell_id", "x", "y", "cell_type"), expression, pairs
     ).groupBy("sample_id", "x", "y", "cell_type", "item").agg(F.count("*").alias("n"))
-    return regions.square_sums(regions.positions(cells, size), here, size, ["cell_type", "item"], **kw)
+    return regions.square_sums(regions.positions(cells, size) if centers is None else centers, here, size, ["cell_type", "item"], **kw)
+
+
+def to_cells(values: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """Rows of positions handed to all cells there, without moving them: ``center`` becomes ``region_id``.
+
+    ``copies`` lists the cells of positions that several cells share; it is broadcast if proven small.
+    """
+    rest = [c for c in values.columns if c not in ("sample_id", "center")]
+    if copies is None:
+        return values.select("sample_id", F.col("center").alias("region_id"), *rest)
+    return values.join(small_table(copies), ["sample_id", "center"], "left").select(
+        "sample_id", F.coalesce("cell_id", "center").alias("region_id"), *rest,
+    )
 
 
 def cell_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, **kw) -> DataFrame:
     """Cell x interaction matrix in long form; ``region_id`` is the center cell.
 
-    Values are computed once per distinct position, then handed to all cells there.
+    Values are computed once per distinct position, which carries the id of one of its cells; the
+    matrix stays where its bucket is and is not exchanged again.
     """
     p = tables_of(pairs)
-    counts = neighborhood_counts(cells, expression, p, size, **kw)
-    values = pair_values(counts, p, regions.POSITION)
-    centers = cells.select("sample_id", F.col("cell_id").alias("region_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return values.join(centers, ["sample_id", "cx", "cy"]).select(
-        "sample_id", "region_id", "lr_id", "celltype1", "celltype2", "mode", "value"
-    )
+    centers, copies = regions.position_ids(cells, size)
+    counts = neighborhood_counts(cells, expression, p, size, centers, ids=("center",), **kw)
+    values = pair_values(counts, p, ["sample_id", "bx", "by", "center"])
+    return to_cells(values.select("sample_id", "center", "lr_id", "celltype1", "celltype2", "mode", "value"), copies)
 
 
 KEY = ["lr_id", "celltype1", "celltype2", "mode"]

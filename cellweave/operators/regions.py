@@ -158,14 +158,29 @@ def positions(cells: DataFrame, size: float) -> DataFrame:
     ).distinct()
 
 
+def position_ids(cells: DataFrame, size: float) -> tuple[DataFrame, DataFrame | None]:
+    """``positions`` with ``center``, the least cell id at each, and (sample_id, center, cell_id) for
+    every cell of the positions that several cells share, if there are any."""
+    half = size / 2
+    placed = cells.select(
+        "sample_id", _bucket(F.col("x"), half).alias("bx"), _bucket(F.col("y"), half).alias("by"),
+        F.col("x").alias("cx"), F.col("y").alias("cy"), "cell_id",
+    )
+    grouped = placed.groupBy(*POSITION).agg(F.min("cell_id").alias("center"), F.count("*").alias("n"))
+    several = grouped.where("n > 1").select("sample_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "center")
+    copies = None if several.isEmpty() else cells.join(several, ["sample_id", "x", "y"]).select("sample_id", "center", "cell_id")
+    return grouped.drop("n"), copies
+
+
 def square_sums(
-    centers: DataFrame, weights: DataFrame, size: float, item: list[str], hot: int = HOT_BUCKET
+    centers: DataFrame, weights: DataFrame, size: float, item: list[str], hot: int = HOT_BUCKET, ids: tuple[str, ...] = (),
 ) -> DataFrame:
     """Sum ``n`` per item over the square around each center position.
 
     ``centers``: POSITION columns, distinct. ``weights``: (sample_id, x, y, *item, n), one row
     per position and item; every position with a weight is also a center, so density can be
-    judged from the centers alone. Result: POSITION + item + n.
+    judged from the centers alone. Result: POSITION + item + n; with ``ids``, columns of the centers
+    that tell those of a sample apart, they take the place of the coordinates.
 
     Buckets of ordinary density join directly: points are copied to the nine buckets
     around them, centers stay at home, and the join is kept partitioned by bucket, so the
@@ -174,6 +189,7 @@ def square_sums(
     contribute one pre-aggregated row each.
     """
     half = size / 2
+    key = [*POSITION[:3], *ids] if ids else POSITION
     crowded = centers.groupBy("sample_id", "bx", "by").count().where(F.col("count") > hot).select("sample_id", "bx", "by")
     has_hot = not crowded.isEmpty()
     if has_hot:
@@ -193,17 +209,18 @@ def square_sums(
     near = (
         cold_centers.hint("merge").join(_spread(cold_points, half), ["sample_id", "bx", "by"])
         .where(_in_square("px", "py", "cx", "cy", half))
-        .select(*POSITION, F.inline("items"))
+        .select(*key, F.inline("items"))
     )
-    sums = near.groupBy(*POSITION, *item).agg(F.sum("n").alias("n"))
+    sums = near.groupBy(*key, *item).agg(F.sum("n").alias("n"))
     if not has_hot:
         return sums
-    dense = _quadtree_sums(centers, weights, hot_buckets, half, item, hot)
-    return sums.unionByName(dense).groupBy(*POSITION, *item).agg(F.sum("n").alias("n"))
+    dense = _quadtree_sums(centers, weights, hot_buckets, half, item, hot, [*POSITION, *ids], key)
+    return sums.unionByName(dense).groupBy(*key, *item).agg(F.sum("n").alias("n"))
 
 
 def _quadtree_sums(
-    centers: DataFrame, weights: DataFrame, hot_buckets: DataFrame, half: float, item: list[str], leaf: int
+    centers: DataFrame, weights: DataFrame, hot_buckets: DataFrame, half: float, item: list[str], leaf: int, own: list[str],
+    key: list[str],
 ) -> DataFrame:
     """Contributions of every (center, bucket) pair in which either side is a hot bucket.
 
@@ -232,7 +249,7 @@ def _quadtree_sums(
     pairs = home.join(
         hot_key.select("sample_id", F.col("hx").alias("tx"), F.col("hy").alias("ty"), F.col("is_hot").alias("target_hot")),
         root, "left",
-    ).where("home_hot OR target_hot").select(*POSITION, "tx", "ty")
+    ).where("home_hot OR target_hot").select(*own, "tx", "ty")
     # Only buckets next to a hot one can occur in these pairs.
     pts = pts.join(pairs.select(*root).distinct(), root, "left_semi")
 
@@ -269,16 +286,16 @@ def _quadtree_sums(
         met = cut_lineage(
             met.where(touches)
             .withColumn("fate", F.when(inside, "all").when(open_it, "open").otherwise("read"))
-            .select(*POSITION, "tx", "ty", "qx", "qy", "fate")
+            .select(*own, "tx", "ty", "qx", "qy", "fate")
         )
         node_items = at_level.groupBy(*node, *item).agg(F.sum("n").alias("n"))
-        parts.append(met.where("fate = 'all'").join(node_items, node).select(*POSITION, *item, "n"))
+        parts.append(met.where("fate = 'all'").join(node_items, node).select(*own, *item, "n"))
         parts.append(
             met.where("fate = 'read'").join(at_level, node)
-            .where(_in_square("px", "py", "cx", "cy", half)).select(*POSITION, *item, "n")
+            .where(_in_square("px", "py", "cx", "cy", half)).select(*own, *item, "n")
         )
         frontier = met.where("fate = 'open'").select(
-            *POSITION, "tx", "ty", F.col("qx").alias("ux"), F.col("qy").alias("uy")
+            *own, "tx", "ty", F.col("qx").alias("ux"), F.col("qy").alias("uy")
         )
         level += 1
         if frontier.isEmpty():
@@ -286,7 +303,7 @@ def _quadtree_sums(
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    return total.groupBy(*POSITION, *item).agg(F.sum("n").alias("n"))
+    return total.groupBy(*key, *item).agg(F.sum("n").alias("n"))
 
 
 def neighborhood_sizes(cells: DataFrame, size: float = 50.0) -> DataFrame:
