@@ -65,7 +65,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def give_back() -> None:
-    """Return memory that freed arrays still hold to the system: a Python worker lives on between tasks."""
+    """Return memory that freed arrays still hold to the system, and long tables of powers with it: a
+    Python worker lives on between tasks."""
+    for base in [b for b, kept in _kept.items() if len(kept[0]) > KEPT_POWERS]:
+        del _kept[base]
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
@@ -150,6 +153,8 @@ class Words:
 
 
 _kept: dict = {}
+#: Powers kept from one batch to the next.
+KEPT_POWERS = 1 << 16
 
 
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
