@@ -54,6 +54,40 @@ def _(t: Inputs):
     return s.select("sample_id", "cell_id", "motif", r6("posterior", "posterior"), "state")
 
 
+# The mixture to its stopping rule: SQL makes GMM_WHOLE steps and takes each motif's first at which it holds.
+GMM_WHOLE, GMM_TOL = 40, 1e-3
+
+
+def _gmm_whole_ctes() -> None:
+    c = base.CTE
+    dens = lambda j: f"ln(w{j}) - 0.5 * ln(2 * pi() * v{j}) - (s - p.sh - m{j}) * (s - p.sh - m{j}) / (2 * v{j})"
+    for i in range(1, GMM_WHOLE + 1):
+        before = "gm0" if i == 1 else f"gw{i - 1}"
+        c[f"gw{i}"] = f"""
+  SELECT motif, sh, ll, a0 / (a0 + a1) AS w0, b0 / a0 AS m0, c0 / a0 - (b0 / a0) * (b0 / a0) + 1e-6 AS v0,
+         a1 / (a0 + a1) AS w1, b1 / a1 AS m1, c1 / a1 - (b1 / a1) * (b1 / a1) + 1e-6 AS v1
+  FROM (SELECT motif, sh, avg(greatest(d0, d1) + ln(exp(d0 - greatest(d0, d1)) + exp(d1 - greatest(d0, d1)))) AS ll,
+    sum(1 - r) + 2.2e-15 AS a0, sum((1 - r) * c) AS b0, sum((1 - r) * c * c) AS c0, sum(r) + 2.2e-15 AS a1, sum(r * c) AS b1, sum(r * c * c) AS c1
+    FROM (SELECT motif, sh, s - sh AS c, d0, d1, 1 / (1 + exp(d0 - d1)) AS r FROM (
+      SELECT motif, p.sh, s, {dens(0)} AS d0, {dens(1)} AS d1 FROM sc JOIN {before} p USING (motif))) GROUP BY ALL)"""
+    c["gwall"] = " UNION ALL ".join(f"SELECT {i} AS i, * FROM gw{i}" for i in range(1, GMM_WHOLE + 1))
+    c["gwstop"] = f"""
+  SELECT motif, min(i) AS n FROM (SELECT motif, i, abs(ll - lag(ll) OVER (PARTITION BY motif ORDER BY i)) AS d FROM gwall) WHERE d < {GMM_TOL} GROUP BY motif"""
+
+
+_gmm_whole_ctes()
+
+
+@query("mdl_gmm_converged", """
+SELECT motif, round(m0 + sh, 6) AS mean0, round(m1 + sh, 6) AS mean1, round(w0, 6) AS weight0, round(w1, 6) AS weight1,
+  round(v0, 6) AS var0, round(v1, 6) AS var1, true AS converged FROM gwall JOIN gwstop USING (motif) WHERE i = n""")
+def _(t: Inputs):
+    """The mixture as its own rule stops it."""
+    params, flat = states.fit_mixture(t.loadings(), tol=GMM_TOL)
+    summary = states.mixture_summary(params, flat).join(params.select("motif", "var0", "var1", "converged"), "motif")
+    return summary.select("motif", *[r6(c, c) for c in ("mean0", "mean1", "weight0", "weight1", "var0", "var1")], "converged")
+
+
 # ---------------------------------------------------------------- Poisson regression
 
 GLM_STEPS = 8
@@ -315,7 +349,7 @@ def fixture_model(t: Inputs, columns):
     f"SELECT sample_id, region_id AS cell_id, CAST({k} AS INT) AS motif, round(g{k}, 6) AS loading FROM proj{PROJECT_STEPS}" for k in range(K)))
 def _(t: Inputs):
     pairs, columns = t.pairs(), t.lri()
-    near = interactions.cell_lri(t.cells(), t.expression(), pairs)
+    near = interactions.cell_lri(t.cells(), t.expression(), pairs, bucket=True)
     aligned = interactions.indexed_matrix(near, columns)
     out = factorize.project(aligned, fixture_model(t, columns), t.cells(), max_iter=PROJECT_STEPS)
     return out.withColumn("loading", F.round("loading", 6))

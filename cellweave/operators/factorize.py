@@ -395,8 +395,9 @@ def project(
 
     With ``flag`` a column ``converged`` tells whether the cell stopped within ``max_iter`` passes.
 
-    Rows are independent given the columns: thin counts are shuffled once by cell, and each
-    cell's list (at most one entry per column) is updated in Arrow batches. Column factors
+    Rows are independent given the columns: thin counts are shuffled once by cell (not at all if the
+    matrix still has the grid bucket by which it is partitioned), and each cell's list (at most one
+    entry per column) is updated in Arrow batches. Column factors
     proven small travel to the tasks as one broadcast matrix; otherwise they are joined to
     the counts first. Cells without counts keep the prior shape. ``tol`` is a relative
     change at which a cell stops early.
@@ -408,19 +409,21 @@ def project(
     key, col_key = ["sample_id", "region_id"], model.col_keys
     factors = model.cols.select(*col_key, F.array(*[F.col(f"g{i}") for i in range(k)]).alias("cg"))
     local = local_copy(factors, broadcast_rows) if len(col_key) == 1 else factors
-    thin_counts = matrix.select(*key, *col_key, "value").repartition(*key)
+    place = [c for c in ("bx", "by") if c in matrix.columns]
+    thin_counts = matrix.select(*key, *place, *col_key, "value")
+    thin_counts = thin_counts if place else thin_counts.repartition(*key)
     shared = None
     if local is not factors:
         table = local.toPandas().sort_values(col_key[0])
         shared = spark.sparkContext.broadcast(
             (table[col_key[0]].to_numpy(), np.array(table["cg"].tolist(), dtype=float).reshape(-1, k))
         )
-        entries = thin_counts.join(F.broadcast(local.select(*col_key)), col_key, "left_semi").groupBy(*key).agg(
+        entries = thin_counts.join(F.broadcast(local.select(*col_key)), col_key, "left_semi").groupBy(*key, *place).agg(
             F.collect_list(F.struct("value", F.col(col_key[0]).alias("column"))).alias("entries")
         )
         lists = entries.select(*key, F.col("entries.value").alias("values"), F.col("entries.column").alias("extra"))
     else:
-        entries = thin_counts.join(factors, col_key).groupBy(*key).agg(F.collect_list(F.struct("value", "cg")).alias("entries"))
+        entries = thin_counts.join(factors, col_key).groupBy(*key, *place).agg(F.collect_list(F.struct("value", "cg")).alias("entries"))
         lists = entries.select(*key, F.col("entries.value").alias("values"), F.flatten("entries.cg").alias("extra"))
 
     def pieces(batches):

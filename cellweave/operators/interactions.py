@@ -163,17 +163,24 @@ def to_cells(values: DataFrame, copies: DataFrame | None) -> DataFrame:
     )
 
 
-def cell_lri(cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, **kw) -> DataFrame:
+# Grid bucket of a row of the cell matrix, by which its rows are partitioned.
+BUCKET = ["bx", "by"]
+
+
+def cell_lri(
+    cells: DataFrame, expression: DataFrame, pairs: DataFrame | PairTables, size: float = 50.0, bucket: bool = False, **kw,
+) -> DataFrame:
     """Cell x interaction matrix in long form; ``region_id`` is the center cell.
 
     Values are computed once per distinct position, which carries the id of one of its cells; the
-    matrix stays where its bucket is and is not exchanged again.
+    matrix stays where its bucket is and is not exchanged again. With ``bucket`` the rows keep BUCKET,
+    so that a grouping by cell needs no exchange either.
     """
     p = tables_of(pairs)
     centers, copies = regions.position_ids(cells, size)
     counts = neighborhood_counts(cells, expression, p, size, centers, ids=("center",), **kw)
     values = pair_values(counts, p, ["sample_id", "bx", "by", "center"])
-    return to_cells(values.select("sample_id", "center", "lr_id", "celltype1", "celltype2", "mode", "value"), copies)
+    return to_cells(values.select("sample_id", "center", *(BUCKET if bucket else []), "lr_id", "celltype1", "celltype2", "mode", "value"), copies)
 
 
 KEY = ["lr_id", "celltype1", "celltype2", "mode"]
@@ -186,9 +193,9 @@ def lri_columns(matrix: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def indexed_matrix(matrix: DataFrame, columns: DataFrame) -> DataFrame:
-    """(sample_id, region_id, lri_idx, value)."""
+    """(sample_id, region_id, lri_idx, value), and BUCKET if the matrix has it."""
     dim = small_table(columns.select(*KEY, "lri_idx"))
-    return matrix.join(dim, KEY).select("sample_id", "region_id", "lri_idx", "value")
+    return matrix.join(dim, KEY).select("sample_id", "region_id", *[c for c in BUCKET if c in matrix.columns], "lri_idx", "value")
 
 
 def named_matrix(matrix: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -218,7 +225,8 @@ def align_columns(matrix: DataFrame, columns: DataFrame, required: DataFrame) ->
     without any count has no rows either way.
     """
     dim = columns.select(*KEY, "lri_name").join(required.select("lri_name", "lri_idx"), "lri_name").drop("lri_name")
-    return matrix.join(small_table(dim), KEY).select("sample_id", "region_id", "lri_idx", "value")
+    kept = [c for c in BUCKET if c in matrix.columns]
+    return matrix.join(small_table(dim), KEY).select("sample_id", "region_id", *kept, "lri_idx", "value")
 
 
 def alignment_problems(model_names: DataFrame, cell_names: DataFrame) -> DataFrame:

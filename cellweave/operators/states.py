@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from cellweave.operators import stats
 
 EPS = 1e-10
 REG_COVAR = 1e-6
+# Bins for each unit of a log loading.
+BINS = 512
 PARAMS = "motif int, shift double, w0 double, mu0 double, var0 double, w1 double, mu1 double, var1 double"
 
 
@@ -55,47 +59,76 @@ def _expect(scores: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def _bins(scores: DataFrame) -> pd.DataFrame:
+    """(motif, bin, n, a, b, lo, hi): count and first two moments of the scores about the middle of bins
+    1 / BINS wide. At most BINS rows for each unit of the range of log loadings, whatever the cells."""
+    binned = scores.withColumn("bin", F.floor(F.col("s") * BINS))
+    u = F.col("s") - (F.col("bin") + 0.5) / BINS
+    return binned.groupBy("motif", "bin").agg(
+        F.count("*").alias("n"), F.sum(u).alias("a"), F.sum(u * u).alias("b"), F.min("s").alias("lo"), F.max("s").alias("hi"),
+    ).toPandas().sort_values(["motif", "bin"])
+
+
+def _nodes(bins: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two scores for each bin, half of its count each, with its mean and variance."""
+    n = bins["n"].to_numpy(float)
+    mean, square = bins["a"].to_numpy() / n, bins["b"].to_numpy() / n
+    spread = np.sqrt(np.maximum(square - mean * mean, 0))
+    middle = (bins["bin"].to_numpy() + 0.5) / BINS + mean
+    return np.concatenate([middle - spread, middle + spread]), np.concatenate([n, n]) / 2
+
+
+def _step(x: np.ndarray, weight: np.ndarray, params: tuple) -> tuple[dict, float]:
+    """Sums of both components over nodes ``x`` and the mean log likelihood under ``params``."""
+    d0, d1 = (math.log(w) - 0.5 * math.log(2 * math.pi * var) - (x - mu) ** 2 / (2 * var) for w, mu, var in (params[2:5], params[5:8]))
+    top = np.maximum(d0, d1)
+    with np.errstate(over="ignore"):
+        r = 1 / (1 + np.exp(d0 - d1))
+    ll = top + np.log(np.exp(d0 - top) + np.exp(d1 - top))
+    sums = {"motif": params[0], "shift": params[1]}
+    for j, part in (("0", (1 - r) * weight), ("1", r * weight)):
+        sums |= {f"a{j}": part.sum(), f"b{j}": (part * x).sum(), f"c{j}": (part * x * x).sum()}
+    return sums, float((ll * weight).sum() / weight.sum())
+
+
 def fit_mixture(loadings: DataFrame, max_iter: int = 100, tol: float | None = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Two Gaussians on log loadings, per motif over all samples.
 
-    Start: split at the middle between least and largest score, so component 1 is the
-    high one. Every step is one aggregation over all motifs; only a few numbers per motif
-    reach the driver. A motif stops once its mean log likelihood gains less than ``tol``.
-    Returns (parameters, degenerate motifs); ``converged`` tells whether a motif stopped by itself
-    within ``max_iter`` steps (null without ``tol``).
+    Start: split at the middle between least and largest score, so component 1 is the high one. The
+    cells are read twice: once for the moments of narrow bins, once for the exact sums of the split.
+    Every step after that works on the bins (two nodes each, exact to the third order in a bin's
+    width), whose number depends on the range of the scores alone. A motif stops once its mean log
+    likelihood gains less than ``tol``. Returns (parameters, degenerate motifs); ``converged`` tells
+    whether a motif stopped by itself within ``max_iter`` steps (null without ``tol``).
     """
     spark = loadings.sparkSession
-    scores = _log_scores(loadings).select("motif", "s").persist()
-    try:
-        spread = scores.groupBy("motif").agg(
-            F.min("s").alias("lo"), F.max("s").alias("hi"), F.avg("s").alias("shift"),
-            F.stddev_pop("s").alias("sd"), F.count("s").alias("n"),
-        ).collect()
-        flat = {r["motif"]: r for r in spread if r["n"] < 2 or r["sd"] < 1e-6}
-        live = [r for r in spread if r["motif"] not in flat]
-        found: dict[int, tuple] = {}
-        moving: set[int] = set()
-        if live:
-            cut = spark.createDataFrame([(r["motif"], (r["lo"] + r["hi"]) / 2, r["shift"]) for r in live], "motif int, cut double, shift double")
-            split = scores.join(F.broadcast(cut), "motif").withColumn("r", (F.col("s") > F.col("cut")).cast("double")).withColumn("ll", F.lit(0.0))
-            found = {m["motif"]: _parameters(m) for m in _maximize(split).collect()}
-            moving, last = set(found), {}
+    scores = _log_scores(loadings).select("motif", "s")
+    nodes, flat, cuts = {}, [], []
+    for motif, bins in _bins(scores).groupby("motif"):
+        x, weight = _nodes(bins)
+        total = weight.sum()
+        shift = float((x * weight).sum() / total)
+        if total < 2 or math.sqrt(((x - shift) ** 2 * weight).sum() / total) < 1e-6:
+            flat.append((int(motif), shift))
+            continue
+        nodes[int(motif)] = x - shift, weight
+        cuts.append((int(motif), (float(bins["lo"].min()) + float(bins["hi"].max())) / 2, shift))
+    rows = []
+    if cuts:
+        cut = spark.createDataFrame(cuts, "motif int, cut double, shift double")
+        split = scores.join(F.broadcast(cut), "motif").withColumn("r", (F.col("s") > F.col("cut")).cast("double")).withColumn("ll", F.lit(0.0))
+        for m in _maximize(split).collect():
+            (x, weight), found, last, stopped = nodes[m["motif"]], _parameters(m), None, False
             for _ in range(max_iter):
-                params = spark.createDataFrame([found[k] for k in sorted(moving)], PARAMS)
-                for m in _maximize(_expect(scores, params)).collect():
-                    k = m["motif"]
-                    found[k] = _parameters(m)
-                    if tol is not None and k in last and abs(m["ll"] - last[k]) < tol:
-                        moving.discard(k)
-                    last[k] = m["ll"]
-                if not moving:
+                sums, ll = _step(x, weight, found)
+                found = tuple(map(float, _parameters(sums)))
+                stopped = tol is not None and last is not None and abs(ll - last) < tol
+                last = ll
+                if stopped:
                     break
-    finally:
-        scores.unpersist()
-    stopped = {k: None if tol is None else k not in moving for k in found}
-    params = spark.createDataFrame([(*v, stopped[k]) for k, v in found.items()], PARAMS + ", converged boolean")
-    degenerate = spark.createDataFrame([(k, r["shift"]) for k, r in flat.items()], "motif int, shift double")
-    return params, degenerate
+            rows.append((m["motif"], *found[1:], None if tol is None else stopped))
+    params = spark.createDataFrame(rows, PARAMS + ", converged boolean")
+    return params, spark.createDataFrame(flat, "motif int, shift double")
 
 
 def assign_states(loadings: DataFrame, params: DataFrame, degenerate: DataFrame) -> DataFrame:

@@ -325,3 +325,52 @@ def test_counts_are_not_exchanged_and_old_factors_go(spark):
         assert count() - before - few == few
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blocked_fit_is_the_same_fit(spark):
+    rng = np.random.default_rng(6)
+    y = rng.poisson(rng.gamma(0.5, 1, (60, 3)) @ rng.gamma(0.5, 1, (3, 15)))
+    y[:, 14] = 0
+    y[59] = 0  # a region and a column without counts
+    rows = spark.range(60).selectExpr("'S' AS sample_id", "id AS region_id")
+    cols = spark.range(15).selectExpr("CAST(id AS INT) AS lri_idx")
+    one, two = (f(counts_table(spark, y), rows, cols, 3, 6, tol=-1.0, seed=3) for f in (factorize.fit, factorize.fit_blocked))
+    assert np.allclose([h[1] for h in one.history], [h[1] for h in two.history], rtol=1e-9)
+    assert [h[0] for h in one.history] == [h[0] for h in two.history] and two.converged is False
+    assert (one.row_beta, one.col_beta) == pytest.approx((two.row_beta, two.col_beta))
+    for a, b, keys in ((one.rows, two.rows, ["sample_id", "region_id"]), (one.cols, two.cols, ["lri_idx"])):
+        a, b = (x.toPandas().set_index(keys).sort_index() for x in (a, b))
+        assert set(a.columns) == set(b.columns) and np.allclose(a[sorted(a)], b[sorted(a)], rtol=1e-9)
+    whole = factorize.fit_blocked(counts_table(spark, y), rows, cols, 3, seed=3)
+    assert whole.converged and whole.history[-1][2] < 1e-4
+    # More columns than may be broadcast go the other way.
+    wide = factorize.fit_blocked(counts_table(spark, y), rows, cols, 3, 2, None, seed=3, broadcast_rows=5)
+    assert np.allclose(wide.cols.toPandas().set_index("lri_idx").sort_index()["g0"], factorize.fit(counts_table(spark, y), rows, cols, 3, 2, None, seed=3).cols.toPandas().set_index("lri_idx").sort_index()["g0"])
+
+
+def test_log_gamma_and_priors_of_arrays():
+    x = np.array([0.1, 0.5, 1.0, 2.5, 17.0, 400.0])
+    assert np.allclose(factorize._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
+
+
+def test_mixture_on_bins_is_the_mixture_of_all_scores(spark):
+    """Against the same steps over every score."""
+    rng = np.random.default_rng(9)
+    score = np.concatenate([rng.normal(-2, 0.7, 700), rng.normal(1, 0.4, 300), [-23.0]])
+    loadings = spark.createDataFrame([("S", i, 0, float(np.exp(v))) for i, v in enumerate(score)], "sample_id string, cell_id long, motif int, loading double")
+    for tol, steps in ((None, 7), (1e-3, 100)):
+        got = states.fit_mixture(loadings, steps, tol)[0].first()
+        s = np.log(np.exp(score) + states.EPS)
+        c, last = s - s.mean(), None
+        r = (s > (s.min() + s.max()) / 2).astype(float)
+        for _ in range(steps + 1):
+            w, mu = np.array([(1 - r).mean(), r.mean()]), np.array([np.average(c, weights=1 - r), np.average(c, weights=r)])
+            var = np.array([np.average((c - m) ** 2, weights=x) for m, x in zip(mu, (1 - r, r))]) + states.REG_COVAR
+            if last is not None and tol is not None and len(last) > 1 and abs(last[-1] - last[-2]) < tol:
+                break
+            d = [np.log(w[j]) - 0.5 * np.log(2 * np.pi * var[j]) - (c - mu[j]) ** 2 / (2 * var[j]) for j in (0, 1)]
+            last = [*(last or []), np.logaddexp(*d).mean()]
+            r = 1 / (1 + np.exp(d[0] - d[1]))
+        assert (got.w1, got.mu0, got.mu1, got.var0, got.var1) == pytest.approx((w[1], *mu, *var), rel=1e-6)
+        assert got.converged == (None if tol is None else True)
+    assert states.fit_mixture(loadings.limit(0))[0].count() == 0
