@@ -33,6 +33,7 @@ NOT_FOREIGN = set(
 )
 FOREIGN_TEXT = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 TABLE_PARTS = set("table caption tbody thead tfoot tr td th".split())
+OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 RAW = re.compile(r"</(script|style|textarea|title|iframe|noscript)\b[^>]*>", re.I)
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -57,6 +58,34 @@ STEMS = (
 WORDS_AT, LINKS_AT = (1, 5, 15, 40), (0.01, 0.25, 0.6)
 
 
+class Open:
+    """The open elements from the outermost inwards, with where those of each name stand."""
+
+    def __init__(self):
+        self.names, self.nodes, self.at, self.hidden = ["#root"], [0], defaultdict(list), 0
+
+    def push(self, name: str, node: int) -> None:
+        self.at[name].append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+        self.hidden += name in HIDDEN
+
+    def cut(self, size: int) -> None:
+        """Close all but the ``size`` outermost elements."""
+        while len(self.names) > size:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.at[name].pop()
+            self.hidden -= name in HIDDEN
+
+    def nearest(self, *names: str) -> int:
+        """Where the innermost open element of these names stands; -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def has(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+
 class Page:
     """Block elements in page order with their parents, features and runs of text."""
 
@@ -66,32 +95,31 @@ class Page:
         self.words, self.linked, self.marks = [0], [0], [0]
         self._pieces: list[str] = []
         self._last: dict[str, int] = {}
-        stack: list[tuple[str, int]] = [("#root", 0)]
-        hidden = links = at = 0
-        node = 0
+        stack = Open()
+        at = node = 0
         for m in self._tokens(source):
             begin, stop, name, end, attrs = m
-            if hidden and stack[-1][0] == "head" and source[at:begin].strip():
-                hidden, node = self._shut(stack, "head")
-            if begin > at and not hidden:
-                self._text(node, source[at:begin], links)
+            if stack.names[-1] == "head" and source[at:begin].strip():
+                node = self._shut(stack, "head")
+            if begin > at and not stack.hidden:
+                self._text(node, source[at:begin], stack.has("a"))
             at = stop
             if not name:
                 continue
             if not end:
-                if hidden and (over := self._ended(stack, name)):
-                    hidden, node = self._shut(stack, over)
+                if stack.hidden and (over := self._ended(stack, name)):
+                    node = self._shut(stack, over)
                     if name == over == "select":
                         continue
                 if name == "button" and not self._closed(source, stop, name):
                     name = "#button"  # browsers show what an open button holds
-                elif attrs.endswith("/") and (name in ("svg", "math") or stack[-1][0] in ("svg", "math")):
+                elif attrs.endswith("/") and (name in ("svg", "math") or stack.names[-1] in ("svg", "math")):
                     continue
                 if name in NO_PARAGRAPH:
                     self._close(stack, {"p"}, {"table", "td", "button", "svg", "math", "template", *FOREIGN_TEXT})
                 if name in CLOSES:
                     self._close(stack, *CLOSES[name])
-                node = stack[-1][1]
+                node = stack.nodes[-1]
                 if name in BLOCKS:
                     self._flush(node)
                     self.tag.append(name)
@@ -103,50 +131,39 @@ class Page:
                         continue
                     node = len(self.tag) - 1
                 elif name in VOID:
-                    if name == "br" and not hidden:
+                    if name == "br" and not stack.hidden:
                         self._pieces.append(" ")
                     continue
-                stack.append((name, node))
-            elif any(x == name for x, _ in stack):
+                stack.push(name, node)
+            elif stack.has(name):
                 if name in BLOCKS:
                     self._flush(node)
-                while stack.pop()[0] != name:
-                    pass
-                node = stack[-1][1]
-            hidden = sum(x in HIDDEN for x, _ in stack)
-            links = sum(x == "a" for x, _ in stack)
-        if hidden and stack[-1][0] == "head" and source[at:].strip():
-            hidden, node = self._shut(stack, "head")
-        if not hidden:
-            self._text(node, source[at:], links)
+                node = self._shut(stack, name)
+        if stack.names[-1] == "head" and source[at:].strip():
+            node = self._shut(stack, "head")
+        if not stack.hidden:
+            self._text(node, source[at:], stack.has("a"))
         self._flush(node)
 
     @staticmethod
-    def _ended(stack: list, name: str) -> str | None:
+    def _ended(stack: Open, name: str) -> str | None:
         """The hidden element that a start tag ends without an end tag of its own, if any."""
-        names = [x for x, _ in stack]
-        if "template" in names:
+        foreign = stack.nearest("svg", "math")
+        if stack.has("template"):
             return None
-        if "head" in names and name not in IN_HEAD and not {"svg", "math"} & set(names):
+        if stack.has("head") and name not in IN_HEAD and foreign < 0:
             return "head"
-        if "select" in names and (name in ("select", "input", "textarea") or name in TABLE_PARTS and "table" in names):
+        if stack.has("select") and (name in ("select", "input", "textarea") or name in TABLE_PARTS and stack.has("table")):
             return "select"
-        if name == "button" and "button" in names:
+        if name == "button" and stack.has("button"):
             return "button"
-        if name in NOT_FOREIGN:
-            for x in reversed(names):
-                if x in FOREIGN_TEXT:
-                    return None
-                if x in ("svg", "math"):
-                    return x
-        return None
+        return stack.names[foreign] if name in NOT_FOREIGN and foreign > stack.nearest(*FOREIGN_TEXT) else None
 
     @staticmethod
-    def _shut(stack: list, name: str) -> tuple[int, int]:
-        """End the innermost ``name`` and all inside it: how many hidden elements stay open, and the node."""
-        while stack.pop()[0] != name:
-            pass
-        return sum(x in HIDDEN for x, _ in stack), stack[-1][1]
+    def _shut(stack: Open, name: str) -> int:
+        """End the innermost ``name`` and all inside it; the node that is left."""
+        stack.cut(stack.nearest(name))
+        return stack.nodes[-1]
 
     def _closed(self, source: str, at: int, name: str) -> bool:
         """Whether an end tag of ``name`` follows."""
@@ -157,14 +174,18 @@ class Page:
     @staticmethod
     def _tokens(source: str):
         """(begin, stop, name, is end tag, attributes); what looks like a tag inside raw text is none."""
-        at = 0
-        while m := TOKEN.search(source, at):
+        # Behind the last ">" there is no whole tag, only a comment left open.
+        at, last = 0, source.rfind(">") + 1
+        while m := TOKEN.search(source, at, last) or OPEN_COMMENT.search(source, max(at, last)):
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                yield m.start(), len(source), "", False, ""
+                return
             name = (m["name"] or "").lower()
             yield m.start(), m.end(), name, bool(m["end"]), m["attrs"] or ""
             at = m.end()
             if not m["end"] and name in ("script", "style", "textarea", "title", "iframe", "noscript"):
                 # Everything up to its own end tag is passed over.
-                while raw := RAW.search(source, at):
+                while raw := RAW.search(source, at, last):
                     at = raw.end()
                     if raw[1].lower() == name:
                         yield at, at, name, True, ""
@@ -173,14 +194,11 @@ class Page:
                     yield len(source), len(source), name, True, ""
                     return
 
-    def _close(self, stack: list, which: set, limit: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in which:
-                self._flush(stack[-1][1])
-                del stack[i:]
-                return
-            if stack[i][0] in limit:
-                return
+    def _close(self, stack: Open, which: set, limit: set) -> None:
+        at = stack.nearest(*which)
+        if at > stack.nearest(*limit):
+            self._flush(stack.nodes[-1])
+            stack.cut(at)
 
     def _text(self, node: int, raw: str, links: int) -> None:
         text = html.unescape(raw)

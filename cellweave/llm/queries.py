@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, lm, manifest, media, passages, quality, simhash, toxicity, trie, urls, warc
@@ -115,16 +115,16 @@ def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All pages as files of WARC records, and a copy in which some records have a changed byte,
     some have lost their last bytes (the file keeps its layout) and some are left out of the file."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    number = F.coalesce(F.col("page_id"), F.abs(F.xxhash64("url", "html")))
-    whole = warc.records(pages, F.floor(number / FILE_PAGES), F.col("page_id"))
-    kept = warc.records(pages.where(f"NOT coalesce({_DAMAGE['lost']}, false)"), F.floor(number / FILE_PAGES), F.col("page_id"))
-    size = F.octet_length("record")
-    flipped = F.concat(F.substring("record", 1, 40), F.lit(b"\x00"), F.expr("substring(record, 42)"))
-    cut = F.concat(F.expr("substring(record, 1, octet_length(record) - 8)"), F.lit(b"\x00" * 8))
-    damaged = F.when(F.expr(_DAMAGE["flip"].replace("page_id", "record_id")), flipped).when(
-        F.expr(_DAMAGE["cut"].replace("page_id", "record_id")), cut,
-    ).otherwise(F.col("record"))
-    return whole, kept.withColumn("record", F.when(size > 48, damaged).otherwise(F.col("record")))
+    file = F.floor(F.coalesce(F.col("page_id"), F.abs(F.xxhash64("url", "html"))) / FILE_PAGES)
+
+    def damaged(record: Column) -> Column:
+        flipped = F.concat(F.substring(record, 1, 40), F.lit(b"\x00"), F.expr("substring(record, 42)"))
+        cut = F.concat(F.expr("substring(record, 1, octet_length(record) - 8)"), F.lit(b"\x00" * 8))
+        hit = [F.expr(_DAMAGE[k].replace("page_id", "record_id")) & (F.octet_length(record) > 48) for k in ("flip", "cut")]
+        return F.when(hit[0], flipped).when(hit[1], cut).otherwise(record)
+
+    whole = warc.index(pages, file, F.col("page_id"))
+    return whole, warc.index(pages.where(f"NOT coalesce({_DAMAGE['lost']}, false)"), file, F.col("page_id"), kept=damaged)
 
 
 @query(f"""

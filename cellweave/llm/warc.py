@@ -7,6 +7,8 @@ look; otherwise the audit descends, level by level, only below nodes that differ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +27,48 @@ def records(pages: DataFrame, file: Column, record_id: Column, uri: str = "url",
     of a file, as writing one does. Null uris and bodies are empty; repeated rows are records of
     their own.
     """
+    made = pages.select(file.alias("file"), record_id.alias("record_id"), _record(uri, body).alias("record"))
+    light = made.withColumn("length", F.octet_length("record").cast("long")).withColumn("tie", F.xxhash64("record"))
+    return light.withColumn("offset", _offset()).select("file", "record_id", "offset", "length", "record")
+
+
+def _record(uri: str, body: str) -> Column:
     payload = F.encode(F.coalesce(F.col(body), F.lit("")), "utf-8")
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.1"), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Target-URI: "), F.coalesce(F.col(uri), F.lit(""))),
         F.lit("Content-Type: text/html"), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2(payload, 256)),
         F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")), F.lit("\r\n"),
     )
-    made = pages.select(file.alias("file"), record_id.alias("record_id"), F.concat(F.encode(head, "utf-8"), payload, F.lit(b"\r\n\r\n")).alias("record"))
-    light = made.withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("record_id", F.xxhash64("record")).rowsBetween(Window.unboundedPreceding, -1)
-    return light.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).select("file", "record_id", "offset", "length", "record")
+    return F.concat(F.encode(head, "utf-8"), payload, F.lit(b"\r\n\r\n"))
+
+
+def _offset() -> Column:
+    order = Window.partitionBy("file").orderBy("record_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("length").over(order), F.lit(0))
+
+
+def index(
+    pages: DataFrame, file: Column, record_id: Column, uri: str = "url", body: str = "html", kept: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """(file, record_id, offset, length, digest) of the records that ``records`` writes.
+
+    Records are hashed where their rows are: only digests and lengths are moved and put in order.
+    ``kept`` gives the bytes that stand in the place of a record (damaged ones, say) from the record;
+    it may use its record_id.
+    """
+    made = pages.select(file.alias("file"), record_id.alias("record_id"), _record(uri, body).alias("record"))
+    stands = F.col("record") if kept is None else kept(F.col("record"))
+    light = made.select(
+        "file", "record_id", F.octet_length("record").cast("long").alias("length"), F.xxhash64("record").alias("tie"),
+        F.sha2(stands, 256).alias("digest"), F.octet_length(stands).cast("long").alias("kept_length"),
+    )
+    return light.withColumn("offset", _offset()).select("file", "record_id", "offset", F.col("kept_length").alias("length"), "digest")
 
 
 def hashed(replica: DataFrame) -> DataFrame:
-    """(file, record_id, offset, length, digest) of a replica's records."""
+    """(file, record_id, offset, length, digest) of a replica's records, which may be hashed already."""
+    if "record" not in replica.columns:
+        return replica.select("file", "record_id", "offset", "length", "digest")
     return replica.select("file", "record_id", "offset", "length", F.sha2("record", 256).alias("digest"))
 
 
@@ -75,7 +105,7 @@ def audit(replica: DataFrame, other: DataFrame) -> DataFrame:
     record is there with other bytes); missing (only in the reference); extra (only in the other,
     with its offset). level is where the descent ended: the number of levels above the leaves if
     the root agreed, less for each level that had to be opened, -1 for records looked at one by
-    one. Replicas have the columns file, record_id, offset, length, record. Null files and ids are
+    one. Replicas have the columns file, record_id, offset, length and record, or digest. Null files and ids are
     names like any other; records that repeat an id in a file are compared in order of offset; an
     empty replica leaves every record of the other missing or extra.
     """

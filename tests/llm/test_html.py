@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import time
 from html import unescape
 
 from cellweave.llm import html
@@ -84,3 +85,19 @@ def test_open_hidden_elements_end_as_in_browsers():
         assert want in got, (before, got)
     for inside in ("<button>no</button>", "<select><option>no</select>", "<svg><desc><p>no</p></desc><text>no</text></svg>", "<template><body>no</body></template>"):
         assert html.main_text(article.replace("</p>", inside + "</p>"), model) == want, inside
+
+
+def test_broken_pages_take_linear_time():
+    model = html.default_model()
+    for page in (
+        "<div>" * 200_000, "<a " * 200_000, "<p><b>" * 100_000, "<script>" + "</script " * 100_000, "<svg><g>" * 60_000 + "<p>x", "<button>" * 100_000,
+        "<li>" * 200_000, "<table><tr><td>" * 50_000, "<p><button><div>" * 50_000, "<!" * 200_000, "<a '" * 100_000,
+    ):
+        start = time.process_time()
+        html.main_text(page, model)
+        assert time.process_time() - start < 5, page[:20]
+
+
+def test_comments_left_open_reach_to_the_end():
+    assert html.Page("<p>a</p><!-- b <p>c</p> d").runs == [(1, "a")]
+    assert html.Page("<p>a</p><!-- b > c").runs == [(1, "a")]

@@ -78,3 +78,13 @@ def test_a_tree_by_hand(spark):
         up.setdefault(k // warc.FANOUT, []).append(f"{k:020d}:{want[k]}")
     want = {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in up.items()}
     assert {r["node"]: r["digest"] for r in levels[1].collect()} == want and n == len(levels) == 3
+
+
+def test_index_is_what_the_written_records_hash_to(spark):
+    rows = [(i % 7, f"u{i}", "x" * (i % 50)) for i in range(60)] + [(None, None, None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    place = F.lit(1), F.col("page_id")
+    written = warc.hashed(warc.records(pages, *place))
+    assert sorted(map(str, warc.index(pages, *place).collect())) == sorted(map(str, written.collect()))
+    changed = warc.index(pages, *place, kept=lambda record: F.concat(record, F.lit(b"!"))).collect()
+    assert sorted((r.offset, r.length - 1) for r in changed) == sorted((r.offset, r.length) for r in written.collect())
