@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import base
 from catalog.base import K, Inputs, query, r6
+from catalog.ranking import two_sided
 from catalog.scalars import motif_table, occupied
 from catalog.sources import CELL_TYPES, marker_rows
 from cellweave.operators import factorize, interactions, lrdb, motifs, regions, states, stats
@@ -307,12 +308,19 @@ def _(t: Inputs):
     return states.group_fractions(t.states(), group_table(t)).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("agg_group_fraction_test", """
-, r AS (SELECT motif, grade, rank() OVER (PARTITION BY motif ORDER BY fraction) + (count(*) OVER (PARTITION BY motif, fraction) - 1) / 2 AS rk FROM groupfrac)
-SELECT motif, count(*) FILTER (grade = 'high') AS n1, count(*) FILTER (grade = 'low') AS n2,
-  sum(rk) FILTER (grade = 'high') - count(*) FILTER (grade = 'high') * (count(*) FILTER (grade = 'high') + 1) / 2 AS u1 FROM r GROUP BY ALL""")
+@query("agg_group_fraction_test", f"""
+, r AS (SELECT motif, grade, rank() OVER (PARTITION BY motif ORDER BY fraction) + (count(*) OVER (PARTITION BY motif, fraction) - 1) / 2 AS rk,
+  count(*) OVER (PARTITION BY motif, fraction) AS t FROM groupfrac),
+s AS (SELECT motif, count(*) FILTER (grade = 'high') AS n1, count(*) FILTER (grade = 'low') AS n2, sum(t * t - 1) AS ties, max(t) > 1 AS tied,
+  sum(rk) FILTER (grade = 'high') - count(*) FILTER (grade = 'high') * (count(*) FILTER (grade = 'high') + 1) / 2 AS u1 FROM r GROUP BY ALL),
+z AS (SELECT *, greatest(u1, n1 * n2 - u1) AS u, (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) AS z FROM s),
+-- Every way to deal the ranks of the eleven groups to the two grades.
+deals AS (SELECT k, list_sum([CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END for i in range(0, 11)]) - k * (k + 1) / 2 AS u FROM (SELECT m, CAST(bit_count(m) AS BIGINT) AS k FROM range(2048) d(m))),
+x AS (SELECT motif, least(1, 2 * count(*) FILTER (deals.u >= z.u) / count(*)) AS p FROM z JOIN deals ON k = n1 GROUP BY motif)
+SELECT motif, n1, n2, u1, round(CASE WHEN NOT tied AND least(n1, n2) <= 8 THEN p WHEN z IS NULL OR z <= 0 THEN 1 ELSE {two_sided("z")} END, 6) AS pval FROM z JOIN x USING (motif)""")
 def _(t: Inputs):
-    return states.compare_grades(states.group_fractions(t.states(), group_table(t)), "low", "high").drop("pval")
+    tested = states.compare_grades(states.group_fractions(t.states(), group_table(t)), "low", "high")
+    return tested.withColumn("pval", F.round("pval", 6))
 
 
 @query("agg_expr_frac", """
