@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import in_turns, small_batches
+from .common import give_back, in_turns, small_batches
 
 NO_RANK = np.iinfo(np.int32).max
 #: Pieces with their ids that a task keeps; the store is emptied beyond that, which changes no result.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 120_000
 #: Texts are split in turns of so many characters, so that few pieces are held at once.
-TURN_CHARS = 3_000_000
+TURN_CHARS = 1_000_000
 
 
 class Vocabulary:
@@ -40,12 +40,12 @@ class Vocabulary:
         self.strings = [b""] * self.size
         for text, rank in ranks.items():
             self.strings[rank] = text
-        pairs = {
-            ranks[text[:i]] * self.size + ranks[text[i:]]: rank
+        pairs = np.fromiter((
+            (ranks[text[:i]] * self.size + ranks[text[i:]], rank)
             for text, rank in ranks.items() for i in range(1, len(text)) if text[:i] in ranks and text[i:] in ranks
-        }
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[x] for x in self.pairs.tolist()], np.int32)
+        ), [("pair", np.int64), ("rank", np.int32)])
+        order = np.argsort(pairs["pair"], kind="stable")
+        self.pairs, self.pair_rank = pairs["pair"][order], pairs["rank"][order]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.length = np.array([len(x) for x in self.strings], np.int64)
         self.known: dict[str, bytes] = {}
@@ -205,15 +205,21 @@ def decoder(rank_file: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
     return decode
 
 
-def round_trip(rank_file: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+def round_trip(rank_file: str, pattern: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def part(text: pa.Array) -> pa.Array:
         v = vocabulary(rank_file, pattern)
         ids = encode_texts([t or "" for t in text.to_pylist()], v)
         decoded = pa.array([decode_ids(x, v) for x in ids], pa.binary())
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
 
-    def both(text: pa.Array) -> pa.Array:
-        return in_turns(text, part, TURN_CHARS)
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for text in texts:
+                yield in_turns(text, part, TURN_CHARS)
+        finally:
+            # The worker lives on and may not encode again.
+            vocabulary.cache_clear()
+            give_back()
 
     return both
 
