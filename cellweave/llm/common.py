@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.session import scratch_path
@@ -17,9 +18,33 @@ _LIBC = ctypes.CDLL(None)
 _BASE, _BASE_WORD = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1B54A32D192ED03 | 1)
 
 
+#: Paths of what was stored inside each open ``scratch`` block.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside the block are deleted at its end, but for those taken off the list it gives."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends at durable files."""
     path = scratch_path(df.sparkSession, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,8 +65,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def document_key(doc_id: str, text: str) -> Column:

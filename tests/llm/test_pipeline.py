@@ -53,3 +53,15 @@ def test_clean_rows_of_one_id_stay(spark, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
     kept = corpus_pipeline.distinct(spark, docs, small).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2]])
+
+
+def test_nothing_but_the_result_is_left_in_the_shared_folder(spark, small):
+    from pathlib import Path
+
+    from cellweave.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, small)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {"stage"} and out.count() > 0 and len(set(folder.iterdir()) - before) == 1
