@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import bpe, decontam, passages, quality, queries, simhash
-from cellweave.llm.common import stored
+from cellweave.llm.common import discard, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,9 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn; what a stage stored on its way goes when its result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        with scratch(spark) as written:
+            docs = stored(stage(spark, docs, sf_dir), "stage")
+            written.pop()
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
