@@ -129,3 +129,8 @@ def test_matrices_match_plain_loops(spark, hot):
     assert as_dict(interactions.patch_lri(cells, expression, pairs, 20.0)) == brute(rows, expr, members, PAIRS)
     around = {(a[0], a[1]): near(rows, a, 10.0) for a in rows}
     assert as_dict(interactions.cell_lri(cells, expression, pairs, 20.0, hot=hot)) == brute(rows, expr, around, PAIRS)
+
+
+def test_edges_never_broadcast_cells(spark):
+    cells, _ = make_cells(spark, np.random.default_rng(5))
+    assert "Broadcast" not in regions.neighbor_edges(cells, 20.0)._jdf.queryExecution().simpleString()
