@@ -134,3 +134,24 @@ def test_matrices_match_plain_loops(spark, hot):
 def test_edges_never_broadcast_cells(spark):
     cells, _ = make_cells(spark, np.random.default_rng(5))
     assert "Broadcast" not in regions.neighbor_edges(cells, 20.0)._jdf.queryExecution().simpleString()
+
+
+def test_shuffles_are_cut_by_bytes_before_features_are_grouped(spark):
+    parts, size, split = (
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes",
+    )
+    old = {c: spark.conf.get(c, None) for c in (parts, size, split)}
+    try:
+        spark.conf.unset(parts)
+        spark.conf.set(size, "64m")
+        spark.conf.set(split, "1m")
+        cells, _ = make_cells(spark, np.random.default_rng(6))
+        expression = cells.select("sample_id", "cell_id", F.lit("G").alias("gene"), F.lit(1).cast("long").alias("count"))
+        pairs = spark.createDataFrame([(0, "G", "G", "Secreted Signaling", "P")], "lr_id int, ligand string, receptor string, signaling_type string, pathway string")
+        interactions.cell_features(cells, expression, pairs)
+        assert int(spark.conf.get(parts)) >= 200
+        assert spark.conf.get(size) == "8m"
+        assert spark.conf.get(split) == "1m"  # already smaller: kept
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
