@@ -374,3 +374,13 @@ def test_mixture_on_bins_is_the_mixture_of_all_scores(spark):
         assert (got.w1, got.mu0, got.mu1, got.var0, got.var1) == pytest.approx((w[1], *mu, *var), rel=1e-6)
         assert got.converged == (None if tol is None else True)
     assert states.fit_mixture(loadings.limit(0))[0].count() == 0
+
+
+def test_projection_of_lists_equals_projection_of_rows(spark):
+    cols = spark.createDataFrame([(i, *[float(1 + (i * 3 + k) % 5) for k in (0, 1)], *[float(1 + (i + k) % 3) for k in (0, 1)]) for i in (2, 3, 7)], "lri_idx int, g0 double, g1 double, e0 double, e1 double")
+    model = factorize.Model(None, cols, ["sample_id", "region_id"], ["lri_idx"], 2, 0.1, 1.0, 1.0, [])
+    rows = spark.createDataFrame([("S", 1, 2, 4), ("S", 1, 7, 1), ("S", 2, 3, 9), ("S", 2, 5, 8), ("S", 2, 9, 8)], "sample_id string, region_id long, lri_idx int, value long")
+    cells = spark.createDataFrame([("S", c) for c in (1, 2, 3)], "sample_id string, cell_id long")
+    lists = rows.groupBy("sample_id", "region_id").agg(F.collect_list(F.struct("lri_idx", "value")).alias("found"))
+    get = lambda m, **kw: {(r.cell_id, r.motif): round(r.loading, 9) for r in factorize.project(m, model, cells, 5, **kw).collect()}
+    assert get(lists) == get(rows) == get(lists, broadcast_rows=0)
