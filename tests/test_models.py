@@ -348,6 +348,19 @@ def test_blocked_fit_is_the_same_fit(spark):
     assert np.allclose(wide.cols.toPandas().set_index("lri_idx").sort_index()["g0"], factorize.fit(counts_table(spark, y), rows, cols, 3, 2, None, seed=3).cols.toPandas().set_index("lri_idx").sort_index()["g0"])
 
 
+def test_blocked_fit_takes_one_job_an_iteration(spark):
+    y = np.random.default_rng(4).poisson(2.0, (40, 6))
+    rows = spark.createDataFrame([("S0", i) for i in range(40)], "sample_id string, region_id long")
+    cols = spark.createDataFrame([(j,) for j in range(6)], "lri_idx int")
+    jobs = []
+    for steps in (4, 9):
+        spark.sparkContext.setJobGroup(f"fit{steps}", "")
+        factorize.fit_blocked(counts_table(spark, y), rows, cols, 3, steps, tol=-1.0, seed=3)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit{steps}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 5
+
+
 def test_log_gamma_and_priors_of_arrays():
     x = np.array([0.1, 0.5, 1.0, 2.5, 17.0, 400.0])
     assert np.allclose(factorize._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
