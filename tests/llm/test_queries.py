@@ -1,9 +1,11 @@
 import importlib
+import time
 
 import pytest
 
 import __spark_entry__ as entry
 from cellweave.llm import queries
+from cellweave.llm.common import stored
 from tests.compare import compare, duck
 
 
@@ -23,3 +25,14 @@ def test_entry_without_the_subpackage(monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", missing)
     assert entry._text_queries() == ({}, {})
+
+
+def test_shuffles_of_stored_tables_are_deleted(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    made = stored(spark.range(10_000).repartition(4, "id"), "some")
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and made.count() == 10_000
