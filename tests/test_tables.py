@@ -119,3 +119,12 @@ def test_model_round_trip(spark):
     key = lambda d: sorted(tuple(r) for r in d.collect())
     assert back.k == 2 and back.row_beta == model.row_beta
     assert key(back.column_factors()) == key(model.column_factors())
+
+
+def test_lines_are_summed_after_their_exchange_only(spark):
+    from catalog.base import Inputs
+
+    lines = Inputs(spark, "/root/testdata/sf0.001").expression()._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchange = [i for i, x in enumerate(lines) if "Exchange" in x]
+    # Plans are printed from the top: nothing is summed below the exchange.
+    assert len(exchange) == 1 and all(i < exchange[0] for i, x in enumerate(lines) if "HashAggregate" in x)
