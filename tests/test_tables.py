@@ -128,3 +128,24 @@ def test_lines_are_summed_after_their_exchange_only(spark):
     exchange = [i for i, x in enumerate(lines) if "Exchange" in x]
     # Plans are printed from the top: nothing is summed below the exchange.
     assert len(exchange) == 1 and all(i < exchange[0] for i, x in enumerate(lines) if "HashAggregate" in x)
+
+
+#: Queries whose lines must be exchanged before they are summed, in every plan they run or store.
+LINE_SUMS = ["agg_comm_matrix"]
+
+
+@pytest.mark.parametrize("name", LINE_SUMS)
+def test_no_scan_of_lines_sums_them(spark, monkeypatch, name):
+    from __spark_entry__ import base, queries
+
+    stored, plans = base.cut_lineage, []
+    monkeypatch.setattr(base, "cut_lineage", lambda df: (plans.append(df), stored(df))[1])
+    plans.append(queries()[name](spark, "/root/testdata/sf0.001"))
+    sums = 0
+    for df in plans:
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i in (i for i, x in enumerate(lines) if "partial_sum" in x and "l_quantity" in x):
+            scan = next(j for j in range(i, len(lines)) if "Scan parquet" in lines[j])
+            assert any("Exchange" in x for x in lines[i:scan])
+            sums += 1
+    assert sums
