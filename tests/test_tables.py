@@ -131,7 +131,10 @@ def test_lines_are_summed_after_their_exchange_only(spark):
 
 
 #: Queries whose lines must be exchanged before they are summed, in every plan they run or store.
-LINE_SUMS = ["agg_comm_matrix"]
+LINE_SUMS = [
+    "agg_comm_matrix",
+    "agg_complex_min",
+]
 
 
 @pytest.mark.parametrize("name", LINE_SUMS)
