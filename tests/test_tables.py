@@ -134,6 +134,7 @@ def test_lines_are_summed_after_their_exchange_only(spark):
 LINE_SUMS = [
     "agg_comm_matrix",
     "agg_complex_min",
+    "agg_diagnostics",
 ]
 
 
