@@ -135,6 +135,7 @@ LINE_SUMS = [
     "agg_comm_matrix",
     "agg_complex_min",
     "agg_diagnostics",
+    "agg_diagnostics_hist",
 ]
 
 
