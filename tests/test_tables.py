@@ -136,6 +136,7 @@ LINE_SUMS = [
     "agg_complex_min",
     "agg_diagnostics",
     "agg_diagnostics_hist",
+    "agg_drop_zero_cols",
 ]
 
 
