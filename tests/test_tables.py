@@ -137,6 +137,7 @@ LINE_SUMS = [
     "agg_diagnostics",
     "agg_diagnostics_hist",
     "agg_drop_zero_cols",
+    "agg_factor_dist",
 ]
 
 
