@@ -138,6 +138,7 @@ LINE_SUMS = [
     "agg_diagnostics_hist",
     "agg_drop_zero_cols",
     "agg_factor_dist",
+    "agg_factor_scatter",
 ]
 
 
