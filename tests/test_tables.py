@@ -139,6 +139,7 @@ LINE_SUMS = [
     "agg_drop_zero_cols",
     "agg_factor_dist",
     "agg_factor_scatter",
+    "agg_factor_sparsity",
 ]
 
 
