@@ -140,6 +140,7 @@ LINE_SUMS = [
     "agg_factor_dist",
     "agg_factor_scatter",
     "agg_factor_sparsity",
+    "agg_gene_region",
 ]
 
 
