@@ -141,6 +141,7 @@ LINE_SUMS = [
     "agg_factor_scatter",
     "agg_factor_sparsity",
     "agg_gene_region",
+    "agg_lr_prevalence",
 ]
 
 
