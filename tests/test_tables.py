@@ -142,6 +142,7 @@ LINE_SUMS = [
     "agg_factor_sparsity",
     "agg_gene_region",
     "agg_lr_prevalence",
+    "agg_lri_motifs",
 ]
 
 
