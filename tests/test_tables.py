@@ -143,6 +143,7 @@ LINE_SUMS = [
     "agg_gene_region",
     "agg_lr_prevalence",
     "agg_lri_motifs",
+    "agg_matrix_stats",
 ]
 
 
