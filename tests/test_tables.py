@@ -144,6 +144,7 @@ LINE_SUMS = [
     "agg_lr_prevalence",
     "agg_lri_motifs",
     "agg_matrix_stats",
+    "agg_network",
 ]
 
 
